@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, linededup, mixing, quality, simhash, substrings
+from . import decontamination, linededup, mixing, quality, simhash, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [urlfilter.site_rule(*r) for r in urlfilter.SITE_RULES] + [urlfilter.token_rule(w, "block") for w in urlfilter.BLOCKED_TOKENS]
+    found = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, rules))
+    rule = F.when(F.col("__weight") > 0, F.col("__rule"))
+    return found.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.col("__verdict").alias("verdict"))
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+r(rule, host, path, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN regexp_matches(lower(u.host || u.path), '(^|[^a-z0-9])(casino|pills|porn|spam|viagra)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN f USING (page_id)
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "low", "high")
@@ -57,5 +74,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op4_quality": op4_quality, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op10_decontamination": op10_decontamination}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op10_decontamination": op10_decontamination}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_line_dedup": OP6_SQL}
