@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, linededup, mixing, quality, simhash, substrings, urlfilter
+from . import decontamination, linededup, lm, mixing, quality, simhash, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "low", "high")
 
 
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.drop_repeated_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
@@ -74,5 +78,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_gru_lm": op5_gru_lm, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_line_dedup": OP6_SQL}
