@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, linededup, lm, mixing, pii, quality, simhash, substrings, urlfilter
+from . import cotrain, decontamination, linededup, lm, mixing, pii, quality, simhash, substrings, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return cotrain.classify(spark, docs, table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -85,5 +90,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_gru_lm": op5_gru_lm, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op9_pii": op9_pii, "op10_decontamination": op10_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op3_url_filter": op3_url_filter, "op4_quality": op4_quality, "op5_gru_lm": op5_gru_lm, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_cotraining": op8_cotraining, "op9_pii": op9_pii, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL, "op6_line_dedup": OP6_SQL}
