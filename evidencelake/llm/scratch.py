@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ class Scratch:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's
+        garbage is next collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
