@@ -1,33 +1,10 @@
-"""All queries over the synthetic tables, with the SQL that gives the same rows."""
+"""All queries over the synthetic tables, with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import evidence_queries, graph_queries, integrity_queries, meta_queries, ranking_queries, record_queries, screening_queries, source_queries, summary_queries, text_queries  # noqa: F401  they register
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "heterogeneity"
 
-FLAGSHIP = "timeline_counts"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and its oracle."""
-
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLE_SQL[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("timeline_counts", "SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders GROUP BY 1")
-def timeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
