@@ -5,6 +5,6 @@ from __future__ import annotations
 from . import evidence_queries, graph_queries, integrity_queries, meta_queries, ranking_queries, record_queries, screening_queries, source_queries, summary_queries, text_queries  # noqa: F401  they register
 from .registry import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "heterogeneity"
+FLAGSHIP = "discovery_flow"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
