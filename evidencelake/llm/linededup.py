@@ -107,7 +107,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     """
     scratch = Scratch(spark, "lines")
     lines = scratch.keep(line_hashes(docs, id_col, text_col, least_chars), "hashes")
-    cuts = lines.where(F.col("doc") < LAST).approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01) or []
+    cuts = (batches > 1 and lines.where(F.col("doc") < LAST).agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000)).first()[0]) or []
     runs, gone, low = LineRuns(spark, scratch, fanout), [], None
     for k, high in enumerate([*sorted({int(c) for c in cuts}), None]):
         batch = lines if low is None else lines.where(F.col("doc") > low)

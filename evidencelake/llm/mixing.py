@@ -21,8 +21,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Hash bins a pattern's documents are counted in before the one in which its rest runs out is looked into.
 BINS = 1 << 16
-#: Documents beyond that bin from which the last tokens of a rest are filled.
-FILL = 64
+#: Documents before and after the place where a rest runs out, of which the best sum is sought.
+FILL = 48
+#: Steps in which sums are told apart in that search.
+SUM_STEPS = 1 << 21
 
 
 def word_count(text: Column) -> Column:
@@ -31,10 +33,11 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == "", 0).otherwise(F.length(runs)).cast("long")
 
 
-def quotas(sizes: list[int], weights: list[float], max_epochs: int = MAX_EPOCHS) -> list[float]:
-    """Shares of the total by weight, none above ``max_epochs`` times its size; the excess is shared again by weight."""
-    total, capped = float(sum(sizes)), [False] * len(sizes)
-    out = [0.0] * len(sizes)
+def quotas(sizes: list[int], weights: list[float], max_epochs: int = MAX_EPOCHS, total: float | None = None) -> list[float]:
+    """Shares of the total (default: of all sizes) by weight, none above ``max_epochs`` times its size; the excess is shared again
+    by weight until none is."""
+    total = float(sum(sizes)) if total is None else float(total)
+    capped = [False] * len(sizes)
     while True:
         free = [i for i, c in enumerate(capped) if not c]
         rest = total - sum(max_epochs * sizes[i] for i, c in enumerate(capped) if c)
@@ -103,16 +106,40 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], need: list[int]
     return out
 
 
+def best_sum(sizes: list[int], wanted: int) -> list[bool]:
+    """Which sizes to take for the sum nearest to ``wanted``, earlier ones rather than later ones.
+
+    Sums that can be reached are the bits of a number, which each size shifts; walking back, a size is left out where the sum can
+    be reached without it.
+    """
+    step = max(1, sum(sizes) // SUM_STEPS)
+    scaled, goal = [-(-s // step) for s in sizes], max(0, wanted // step)
+    reach = [1]
+    for s in scaled:
+        reach.append(reach[-1] | reach[-1] << s)
+    last = reach[-1]
+    below = (last & ((1 << goal + 1) - 1)).bit_length() - 1
+    above = last >> goal
+    up = goal + (above & -above).bit_length() - 1 if above else below
+    total = up if up - goal < goal - below else below
+    taken = [False] * len(sizes)
+    for k in range(len(sizes) - 1, -1, -1):
+        if not reach[k] >> total & 1:
+            taken[k] = True
+            total -= scaled[k]
+    return taken
+
+
 def fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one pattern's documents near the end of its rest: in seeded order those that still fit, then one more if nearer."""
+    """Of one pattern's documents near the end of its rest, in seeded order: those well before it, and of the FILL on either side
+    those whose sum comes nearest."""
     rows = rows.sort_values(["draw", "id", "size"], kind="stable", na_position="last").reset_index(drop=True)
-    left, extra = int(rows["rest"].iloc[0]), [False] * len(rows)
-    for k, size in enumerate(rows["size"]):
-        if 0 < size <= left:
-            extra[k], left = True, left - int(size)
-    unused = [(int(s), k) for k, s in enumerate(rows["size"]) if s > 0 and not extra[k]]
-    if unused and min(unused)[0] - left < left:
-        extra[min(unused)[1]] = True
+    left, sizes = int(rows["rest"].iloc[0]), [int(s) for s in rows["size"]]
+    upto, place = 0, 0
+    while place < len(sizes) and upto + sizes[place] <= left:
+        upto, place = upto + sizes[place], place + 1
+    first, last = max(0, place - FILL), min(len(sizes), place + FILL)
+    extra = [True] * first + best_sum(sizes[first:last], left - sum(sizes[:first])) + [False] * (len(sizes) - last)
     return rows.assign(extra=extra)[["rid", "extra"]]
 
 
@@ -128,7 +155,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
     The driver holds one row a pattern and source, which are settings of a corpus and no documents. Seeded selection: words
     are summed in BINS hash bins a pattern, a running sum finds the bin in which the rest runs out, and only that bin's
-    documents and the next FILL are put in order, so that no source is gathered in one task.
+    documents and those FILL before and after are put in order, so that no source is gathered in one task.
     """
     scratch = Scratch(spark, "mix")
     named = F.array(F.col("source")) if sources is None else F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))
@@ -140,8 +167,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     at = {s: k for k, s in enumerate(order)}
     share = [(weights or {}).get(s, cycle[k % len(cycle)]) for k, s in enumerate(order)]
     sizes = [sum(n for p, n in totals if s in p) for s in order]
-    words = sum(n for _, n in totals)
-    target = quotas(sizes, share, max_epochs) if total is None or not words else [t * total / words for t in quotas(sizes, share, max_epochs)]
+    target = quotas(sizes, share, max_epochs, sum(n for _, n in totals) if total is None else total)
     flows = min_cost_flow([n for _, n in totals], [[at[s] for s in p] for p, _ in totals], [round(t) for t in target], max_epochs)
     plan = []
     for (pattern, size), flow in zip(totals, flows, strict=True):
@@ -154,8 +180,10 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     bins = planned.where("rest > 0").groupBy("pattern", "rest", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     ordered = "PARTITION BY pattern ORDER BY bin"
     bins = bins.select("*", F.expr(f"sum(words) OVER ({ordered})").alias("run"), F.expr(f"sum(n) OVER ({ordered})").alias("seen"))
-    cut = bins.where("run > rest").groupBy("pattern").agg(F.min(F.struct("bin", F.expr("rest - (run - words)").alias("rest"), F.expr("seen - n").alias("before"), F.col("seen").alias("seen"))).alias("cut"))
-    end = bins.join(cut, "pattern").where(f"bin >= cut.bin AND seen - n < cut.seen + {FILL}").groupBy("pattern").agg(F.first("cut.bin").alias("from_bin"), F.first("cut.rest").alias("left"), F.max("bin").alias("to_bin"))
+    cut = bins.where("run > rest").groupBy("pattern").agg(F.min(F.struct("bin", F.expr("seen - n").alias("before"), F.col("seen").alias("seen"))).alias("cut"))
+    near = bins.join(cut, "pattern").where(f"seen > cut.before - {FILL} AND seen - n < cut.seen + {FILL}")
+    end = near.groupBy("pattern").agg(F.min("bin").alias("from_bin"), F.min(F.expr("struct(bin, rest - (run - words) AS left)")).alias("first"), F.max("bin").alias("to_bin"))
+    end = end.select("pattern", "from_bin", "first.left", "to_bin")
     placed = planned.join(F.broadcast(end) if len(plan) <= 100_000 else end, "pattern", "left")
     placed = placed.withColumn("more", F.expr("CASE WHEN rest = 0 OR size = 0 THEN 0 WHEN from_bin IS NULL OR bin < from_bin THEN 1 WHEN bin <= to_bin THEN 2 ELSE 0 END"))
     tail = placed.where("more = 2").select("pattern", "id", "rid", "draw", "size", F.col("left").alias("rest"))
