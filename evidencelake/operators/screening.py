@@ -110,11 +110,6 @@ def word_root(word: str, least: int = 5) -> str:
     return word[: len(word) - cut]
 
 
-def word_root_column(w: Column, least: int = 5) -> Column:
-    cuts = F.array(*(F.when(F.endswith(w, F.lit(e)) & (F.length(w) - len(e) >= least), F.lit(len(e))) for e in ENDINGS))
-    return F.substr(w, F.lit(1), F.length(w) - F.coalesce(F.array_max(cuts), F.lit(0)))
-
-
 def term_match(term: str, hay: Column, aliases: list[str] | None = None) -> Column:
     """Whether folded text has a term: as a part, as an alias, as a word of the same root, compound or beginning, or one edit
     away for terms of seven letters on."""
@@ -127,12 +122,12 @@ def term_match(term: str, hay: Column, aliases: list[str] | None = None) -> Colu
     root = word_root(t)
 
     def family(w: Column) -> Column:
-        r, plain = word_root_column(w), F.replace(w, F.lit("-"), F.lit(""))
-        shared = F.startswith(w, F.lit(root)) | ((F.length(r) >= 5) & (F.startswith(F.lit(root), F.substr(r, F.lit(1), F.lit(len(root)))) | F.startswith(r, F.substr(F.lit(root), F.lit(1), F.length(r)))))
-        compound = (F.length(plain) >= 5) & (plain.contains(t) | F.lit(t).contains(plain)) & (F.abs(F.length(plain) - len(t)) <= 14)
+        # Roots have five letters at least, so words with a root in common begin alike: one test stands for all of these.
+        plain = F.replace(w, F.lit("-"), F.lit(""))
+        near = (plain.contains(t) | F.lit(t).contains(plain)) & (F.abs(F.length(plain) - len(t)) <= 14)
         if len(root) >= 6:
-            compound |= plain.contains(root)
-        return shared | compound | ((F.length(plain) >= 5) & (F.substring(plain, 1, 5) == t[:5]))
+            near |= plain.contains(root)
+        return (F.length(plain) >= 5) & ((F.substring(plain, 1, 5) == t[:5]) | near)
 
     found |= F.exists(F.regexp_extract_all(hay, F.lit("([a-z][a-z\\-]+)"), F.lit(1)), family)
     if len(t) >= 7:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.layout import spread
 from .registry import table
 
 #: documents as papers: the title is the text up to the first full stop, at most 80 characters.
@@ -13,7 +14,7 @@ PAPERS_SQL = """papers AS (SELECT doc_id AS paper_id, substr(split_part(text, '.
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars", "lang"))
     return d.select(
         F.col("doc_id").alias("paper_id"), F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 80).alias("title"), F.col("text").alias("abstract"), F.when(F.col("doc_id") % 11 != 0, (1990 + F.col("doc_id") % 35).cast("int")).alias("year"),
         F.col("source").alias("venue"), (F.col("n_chars") % 500).cast("int").alias("citation_count"), F.col("lang").alias("language"), F.when(F.col("doc_id") % 7 == 0, "proceedings-article").when(F.col("doc_id") % 13 == 0, "posted-content").otherwise("journal-article").alias("type"),

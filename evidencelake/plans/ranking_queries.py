@@ -19,14 +19,16 @@ AS_OF = 2025
 @query("discovery_flow")
 def discovery_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain gate, weight-of-terms filter, six signals, relevance floor, diversity caps."""
-    gated = screening.cooccurrence(screening.domain_gate(discovery_papers(spark, sf_dir), ["thing", "there", "that", "with", "eren", "thaon"]), QUESTION)
+    scratch = Scratch(spark, "discovery")
+    gated = screening.domain_gate(discovery_papers(spark, sf_dir), ["thing", "there", "that", "with", "eren", "thaon"])
+    gated = scratch.keep(screening.cooccurrence(gated, QUESTION), "gated")  # each signal reads it
     semantic = ranking.query_likeness(gated, QUESTION).select(F.col("id").cast("long").alias("paper_id"), "semantic")
     facet = ranking.facets(gated, ["thing", "there", "eren", "thaon"]).withColumnRenamed("id", "paper_id")
     cites = ranking.citation_influence(gated, AS_OF).withColumnRenamed("id", "paper_id")
     signals = gated.join(semantic, "paper_id").join(facet, "paper_id").join(cites, "paper_id")
     signals = signals.withColumns({"recency": ranking.recency(F.col("year"), AS_OF), "venue_score": F.lit(0.5)}).withColumn("network", F.lit(0.0))
     scored = ranking.combine(signals.withColumn("__v", F.col("venue")).drop("venue").withColumnRenamed("venue_score", "venue"))
-    scored = Scratch(spark, "ranked").keep(scored, "scored")  # the floor and the caps read it several times
+    scored = scratch.keep(scored.drop("abstract"), "scored")  # the floor and the caps read it several times
     best = ranking.diversify(ranking.relevance_floor(scored), 30, AS_OF)
     return best.select("rank", "paper_id", F.round("combined", 6).alias("combined"), F.round("semantic", 6).alias("semantic"), F.round("facet", 6).alias("facet"), "first_author", "venue_key", "year")
 
