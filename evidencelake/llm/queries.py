@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.layout import spread
 from . import cotrain, decontamination, linededup, lm, mixing, pii, quality, simhash, substrings, urlfilter
 
 
@@ -14,13 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(spark, documents(spark, sf_dir, "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = mixing.mix(spark, documents(spark, sf_dir, "doc_id", "text", "source"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
@@ -42,16 +47,16 @@ FROM u LEFT JOIN f USING (page_id)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = quality.judge(spark, documents(spark, sf_dir, "doc_id", "text", "lang"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "low", "high")
 
 
 def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return lm.score(spark, documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.drop_repeated_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.drop_repeated_lines(spark, documents(spark, sf_dir, "doc_id", "text"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     return found.select("doc_id", lines.alias("n_lines"), F.col("__n_dropped").cast("long").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
@@ -68,24 +73,24 @@ FROM m GROUP BY doc_id
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.drop_repeated_passages(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substrings.drop_repeated_passages(spark, documents(spark, sf_dir, "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     return cotrain.classify(spark, docs, table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.personal_data(documents(spark, sf_dir, "doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.benchmark_hits(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    found = decontamination.benchmark_hits(spark, documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["begin"]))
     return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
