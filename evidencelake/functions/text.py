@@ -90,7 +90,7 @@ def content_words(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Trimmed sentences: cut after ``. ! ?`` before white space and a capital."""
-    return F.transform(F.split(text_or_empty(c), "(?<=[.!?])\\s+(?=[A-Z])"), F.trim)
+    return F.transform(F.split(text_or_empty(c), "(?<=[.!?])\\s+(?=[A-Z])"), lambda s: F.trim(s))
 
 
 def best_sentence(text: Column, claim: Column, most: int = 500) -> Column:
@@ -187,7 +187,7 @@ def phrases(c: Column, stop: list[str], longest: int = 4) -> Column:
     tokens = F.filter(F.split(plain, "\\s+"), lambda t: t != "")
     held = F.array(*map(F.lit, stop))
     marked = F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(held, t) | (F.length(t) < 2), "|").otherwise(t)), " ")
-    runs = F.transform(F.split(marked, "\\|"), F.trim)
+    runs = F.transform(F.split(marked, "\\|"), lambda s: F.trim(s))
     return F.filter(runs, lambda r: (r != "") & (F.size(F.split(r, " ")) <= longest))
 
 
