@@ -119,7 +119,7 @@ _CONFUSION = """j AS (SELECT d.lang, d.n_chars > 800 AS p, l.quality AS y FROM d
 
 
 @query("screening_metrics", f"""WITH {_CONFUSION}, m AS (SELECT *, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS pr, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS re, (tp + fp + fn + tn)::DOUBLE AS n FROM c), k AS (SELECT *, ((tp + fp)::DOUBLE * (tp + fn) + (fn + tn)::DOUBLE * (fp + tn)) / (n * n) AS pe FROM m)
-SELECT lang, tp, fp, fn, tn, 0 AS maybe, unlabeled, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, round(((tp + tn) / n - pe) / (1 - pe), 6) AS kappa FROM k""")
+SELECT lang, tp, fp, fn, tn, 0::BIGINT AS maybe, unlabeled, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, round(((tp + tn) / n - pe) / (1 - pe), 6) AS kappa FROM k""")
 def screening_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") > 800).alias("included"))
     j = d.join(table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("label")), "doc_id", "left")

@@ -22,7 +22,7 @@ def _json(frame: DataFrame, schema: str) -> DataFrame:
     return frame.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-@query("map_crossref", "SELECT 'C-' || c_custkey AS doi, c_name AS title, 'Ann ' || c_mktsegment AS author, 2000 + c_custkey % 20 AS year, c_custkey % 9 = 0 AS is_retracted FROM customer")
+@query("map_crossref", "SELECT 'C-' || c_custkey AS doi, c_name AS title, 'Ann ' || c_mktsegment AS author, (2000 + c_custkey % 20)::INT AS year, c_custkey % 9 = 0 AS is_retracted FROM customer")
 def map_crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     item = F.struct(
@@ -52,7 +52,7 @@ def map_semantic_scholar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doi", "abstract", "type")
 
 
-@query("map_epmc", "SELECT c_custkey::VARCHAR AS pmid, c_name AS title, 1990 + c_custkey % 30 AS year FROM customer WHERE c_custkey % 3 <> 0")
+@query("map_epmc", "SELECT c_custkey::VARCHAR AS pmid, c_name AS title, (1990 + c_custkey % 30)::INT AS year FROM customer WHERE c_custkey % 3 <> 0")
 def map_epmc(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     item = F.struct(F.when(k % 3 != 0, k.cast("string")).alias("pmid"), F.concat(F.lit("<i>"), "c_name", F.lit("</i>")).alias("title"), (k % 30 + 1990).cast("string").alias("pubYear"))
