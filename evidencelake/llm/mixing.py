@@ -197,7 +197,8 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, **params) -> DataFrame:
-    """The documents that the mix takes, with columns ``copies`` and ``taken`` added; rows equal in id and text become one."""
-    got = mix(spark, docs, id_col, text_col, seed=seed, **params).where("copies > 0").groupBy("rid").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    """The documents that the mix takes, with columns ``copies`` and ``taken`` added (in place of any of these names); rows equal in
+    id and text become one."""
+    got = mix(spark, docs, id_col, text_col, seed=seed, **params).where("copies > 0").groupBy(F.col("rid").alias("__got")).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
     marked = docs.drop("copies", "taken").withColumn("__rid", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)))
-    return marked.join(got, marked["__rid"] == got["rid"]).dropDuplicates(["__rid"]).drop("__rid", "rid")
+    return marked.join(got, marked["__rid"] == got["__got"]).dropDuplicates(["__rid"]).drop("__rid", "__got")

@@ -75,6 +75,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     distinct = literals.distinct().join(seen, "token").groupBy("rule", "pattern", "verdict", "weight").agg(F.count("*").alias("held"), F.min(F.struct("n", "token")).alias("rarest"))
     index = distinct.join(whole, ["rule", "pattern", "verdict", "weight"]).where("held = all").select("rule", "pattern", "verdict", "weight", F.col("rarest.token").alias("token"))
     fits = words.join(index, "token").where(F.rlike("address", F.col("pattern")))
-    best = fits.groupBy("__host", "__path").agg(F.min(F.struct((-F.col("weight")).alias("order"), "rule", "verdict")).alias("best"))
+    best = fits.groupBy("__host", "__path").agg(F.min(F.struct((-F.col("weight")).alias("order"), "rule", "verdict")).alias("__best"))
     joined = keyed.join(best, ["__host", "__path"], "left")
-    return joined.withColumns({"__rule": F.col("best.rule"), "__weight": -F.col("best.order"), "__verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    return joined.withColumns({"__rule": F.col("__best.rule"), "__weight": -F.col("__best.order"), "__verdict": F.coalesce("__best.verdict", F.lit(default))}).drop("__best")

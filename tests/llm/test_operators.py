@@ -281,7 +281,7 @@ def test_language_model_gradients():
 
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/x?y", "https://WWW.example.com/en/", "http://net/es/1", "x.net/es/", None, "", "http://notnet/es/", "http://b.net/fr/#a", "ftp://example.org/spam/1", "http://com", "http://a.com/", "http://a.com?b/", "http://example.com/EN/", "http://u@example.com/en/", "a://b://net/es/"]
-    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls + urls[:2])], "page_id long, url string, rule string")
+    pages = spark.createDataFrame([(k, u, "h", "h", 1) for k, u in enumerate(urls + urls[:2])], "page_id long, url string, rule string, best string, token int")
     rules = urlfilter.rule_table(spark, [urlfilter.site_rule(*r) for r in urlfilter.SITE_RULES] + [urlfilter.token_rule("spam", "block")])
     got = {r.page_id: (r["__host"], r["__path"], r["__rule"], r["__verdict"]) for r in urlfilter.judge_urls(pages, rules).collect()}
     assert len(got) == len(urls) + 2

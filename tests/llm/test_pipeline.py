@@ -66,7 +66,7 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     out = pipeline.run(spark, folder)
-    assert out.count() > 0 and {"doc_id", "text", "taken"} <= set(out.columns)
+    assert out.count() > 0 and set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "rid", "copies", "taken"}
 
 
 def test_empty_corpus(spark, folder, tmp_path):
