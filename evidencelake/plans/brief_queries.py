@@ -11,7 +11,8 @@ from .papers import MEASURED_SQL, measured, papers
 from .registry import query, table
 
 
-@query("short_authors", "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) <= 2 THEN string_agg(DISTINCT string_split(o_orderpriority, '-')[2], ' & ' ORDER BY string_split(o_orderpriority, '-')[2]) ELSE min(string_split(o_orderpriority, '-')[2]) || ' et al.' END AS author FROM (SELECT o_custkey, regexp_replace(regexp_replace(o_orderpriority, 'NOT SPECIFIED', 'None'), '-([A-Z])([A-Z]+)', '-\\1\\2') AS o_orderpriority FROM orders WHERE o_orderpriority LIKE '%-LOW' OR o_orderpriority LIKE '%-HIGH') GROUP BY 1".replace("string_split(o_orderpriority, '-')[2]", "(upper(substr(string_split(o_orderpriority, '-')[2], 1, 1)) || lower(substr(string_split(o_orderpriority, '-')[2], 2)))"))
+@query("short_authors", """WITH n AS (SELECT DISTINCT o_custkey, CASE WHEN o_orderpriority LIKE '%-LOW' THEN 'Low' ELSE 'High' END AS n FROM orders WHERE o_orderpriority LIKE '%-LOW' OR o_orderpriority LIKE '%-HIGH')
+SELECT o_custkey, string_agg(n, ' & ' ORDER BY n) AS author FROM n GROUP BY 1""")
 def short_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '%-LOW' OR o_orderpriority LIKE '%-HIGH'")
     names = o.groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("J. "), F.element_at(F.split("o_orderpriority", "-"), -1)))).alias("names"))

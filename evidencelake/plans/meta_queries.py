@@ -35,7 +35,9 @@ def pool_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(rounded(p, "effect", "ci_lower", "ci_upper"), "se", digits=8), "z_score", digits=4)
 
 
-@query("pool_random_dl", _HET + ", p AS (SELECT l_returnflag, l_linestatus, any_value(tau) AS tau, count(*) AS k, sum(effect / (variance + tau)) / sum(1 / (variance + tau)) AS e, sqrt(1 / sum(1 / (variance + tau))) AS s FROM studies JOIN t USING (l_returnflag, l_linestatus) GROUP BY ALL) SELECT l_returnflag, l_linestatus, count(*)::BIGINT * 0 + any_value(k) AS k, round(any_value(e), 6) AS effect, round(any_value(s), 8) AS se, round(any_value(tau), 8) AS tau_squared FROM p GROUP BY ALL".replace("JOIN t USING", "JOIN (SELECT l_returnflag, l_linestatus, tau FROM t) USING"))
+@query("pool_random_dl", _HET + """, g AS (SELECT l_returnflag, l_linestatus, tau FROM t),
+p AS (SELECT l_returnflag, l_linestatus, any_value(tau) AS tau, count(*) AS k, sum(effect / (variance + tau)) / sum(1 / (variance + tau)) AS e, sqrt(1 / sum(1 / (variance + tau))) AS s FROM studies JOIN g USING (l_returnflag, l_linestatus) GROUP BY l_returnflag, l_linestatus)
+SELECT l_returnflag, l_linestatus, k, round(e, 6) AS effect, round(s, 8) AS se, round(tau, 8) AS tau_squared FROM p""")
 def pool_random_dl(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = meta.pool_random(studies(spark, sf_dir), BY).select(*BY, "k", "effect", "se", "tau_squared")
     return rounded(rounded(p, "effect"), "se", "tau_squared", digits=8)
