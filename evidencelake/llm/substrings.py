@@ -28,7 +28,7 @@ WINDOW, ROUNDS = 50, 4
 #: Rows without an id count as one document that comes after all others.
 LAST = 2**63 - 1
 #: Bytes of text that a task looks over together before rows go on.
-LOOK_OVER = 1 << 24
+LOOK_OVER = 1 << 22
 _U = np.uint64
 _RUN, _PAIR = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 

@@ -128,11 +128,15 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
     """The texts of an Arrow column in runs of whole documents of about ``limit`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return
-    _, where, body = column.buffers()
-    offsets = np.frombuffer(where, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if not pa.types.is_string(column.type):
+        column = column.cast(pa.large_string())
+    _, where, body = column.buffers()  # the bytes are not copied
+    width = np.int32 if pa.types.is_string(column.type) else np.int64
+    offsets = np.frombuffer(where, dtype=width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(body, dtype=np.uint8) if body is not None and body.size else np.zeros(0, dtype=np.uint8)
     lo = 0
     while lo < len(column):
