@@ -1,0 +1,175 @@
+"""Near copies by the likeness of their shingles: texts link when the Jaccard index of their sets of five-word shingles is 0.8 or more.
+
+Candidates come from min-wise hashes: BANDS bands of ROWS minima each, so that a pair at 0.8 shares no band with a chance of
+(1 - 0.8 ** ROWS) ** BANDS, 3e-6, and a closer one with less. Every candidate is verified on the exact sets. Texts with equal
+sets enter once. Small buckets are paired in full; in large ones all are first paired with a few hubs, and what these links
+have not joined is then paired across components, so that a large group of copies costs no square of its size.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import tokens
+from .components import connected_components
+from .scratch import Scratch
+
+SHINGLE = 5
+#: The least Jaccard index of a link, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 24, 4
+#: Buckets of more rows are paired with HUBS hubs first.
+SMALL, HUBS = 16, 3
+_U = np.uint64
+_TURN = tokens.splitmix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
+
+
+def shingle_sets(chunk: tokens.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each document of a chunk, sorted, and how many there are; a text of fewer words has one of all."""
+    words = chunk.lowered().words()
+    n = np.where(words.counts >= size, words.counts - size + 1, np.minimum(words.counts, 1))
+    doc = np.repeat(np.arange(chunk.n), n)
+    first = words.of[doc] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    keys = tokens.span_hashes(words.hashes(), first, np.minimum(first + size, words.of[doc + 1]))
+    order = np.lexsort((keys, doc))
+    keys, doc = keys[order], doc[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))[: len(keys)]
+    return keys[new], np.bincount(doc[new], minlength=chunk.n)
+
+
+def set_keys(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each set; that of the empty one is that of its size."""
+    out = np.zeros(len(n), dtype=_U)
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(tokens.splitmix(keys), (np.cumsum(n) - n)[some])
+    return tokens.splitmix(out + tokens.splitmix(n.astype(_U)))
+
+
+def band_keys(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """BANDS hashes of each set that is not empty."""
+    some = np.flatnonzero(n)
+    out = np.empty((len(some), BANDS), dtype=_U)
+    begin = (np.cumsum(n) - n)[some]
+    for band in range(BANDS):
+        mixed = np.full(len(some), band + 1, dtype=_U)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            mixed = tokens.splitmix(mixed * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(keys * _TURN[k], begin))
+        out[:, band] = mixed
+    return out
+
+
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """One number for rows that agree in id and text, null ids and texts included."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+
+
+def marked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, id, node, n, bands) for every row: its set's hash and size."""
+
+    def run(batches):
+        for batch in batches:
+            for c in tokens.chunks(batch.column(2)):
+                keys, n = shingle_sets(c)
+                bands = band_keys(keys, n) if n.any() else np.zeros((0, BANDS), dtype=_U)
+                rows = [batch.column(i).slice(c.first, c.n) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(set_keys(keys, n).view(np.int64)), pa.array(n.astype(np.int64)), _lists(bands.ravel(), BANDS * (n > 0))], names=["rid", "id", "node", "n", "bands"])
+
+    source = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:2], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+
+
+def whole_sets(docs: DataFrame, text_col: str) -> DataFrame:
+    """(node, shingles) of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for c in tokens.chunks(batch.column(0)):
+                keys, n = shingle_sets(c)
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(keys, n).view(np.int64)), _lists(keys, n)], names=["node", "shingles"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def _alike(common: Column | None = None) -> Column:
+    """The test for a pair's sizes n and m with the shingles in common, at most those of the smaller set."""
+    common = F.least("n", "m") if common is None else common
+    return common * LEAST[1] >= (F.col("n") + F.col("m") - common) * LEAST[0]
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Different pairs (u, v, n, m) with u < v whose sizes allow a link."""
+    return rows.where((F.col("u") < F.col("v")) & _alike()).select("u", "v", "n", "m").distinct()
+
+
+def _crossed(buckets: DataFrame, *more: Column) -> DataFrame:
+    """All pairs of rows of a bucket that meet further conditions on a and b."""
+    a, b = buckets.alias("a"), buckets.alias("b")
+    on = [F.col("a.band") == F.col("b.band"), F.col("a.node") < F.col("b.node"), *more]
+    both = a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    return _pairs(both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that are alike by their exact sets."""
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(left, "u").join(right, "v").where(_alike(F.size(F.array_intersect("a", "b")))).select("u", "v")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(rid, id, node, root) for every row: rows of one root are joined by links between texts alike in LEAST of their shingles.
+
+    Words are lower-cased (A-Z) runs of anything but ASCII white space. Texts without words are all alike, as are those with
+    equal sets. Repeated rows stay repeated. An empty table gives an empty one. Other columns are not read.
+    """
+    scratch = scratch or Scratch(spark, "neardup")
+    marked = scratch.keep(marked_rows(docs, id_col, text_col), "marked")
+    rows = marked.dropDuplicates(["node"]).select("node", "rid", "n", F.explode("bands").alias("band"))
+    rows = scratch.keep(rows, "bands")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = scratch.keep(rows.join(sizes, "band"), "buckets")
+    scratch.drop(rows)
+    wanted = buckets.select(F.col("rid").alias("__rid")).distinct()
+    texts = docs.join(wanted, row_key(id_col, text_col) == wanted["__rid"], "left_semi")
+    sets = scratch.keep(whole_sets(texts, text_col).dropDuplicates(["node"]), "sets")
+
+    large = buckets.where(F.col("size") > SMALL)
+    hubs = large.groupBy("band").agg(*(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in range(HUBS)))
+    spokes = large.join(hubs.select("band", F.explode(F.array(*(f"h{k}" for k in range(HUBS)))).alias("h")), "band")
+    less = F.col("node") < F.col("h.node")
+    star = spokes.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v"), F.when(less, F.col("n")).otherwise(F.col("h.n")).alias("n"), F.when(less, F.col("h.n")).otherwise(F.col("n")).alias("m"))
+    small = _crossed(buckets.where(F.col("size") <= SMALL))
+    links = scratch.keep(verified(small.union(_pairs(star)).distinct(), sets), "verified")
+    roots = connected_components(spark, links, scratch)
+    if not large.isEmpty():
+        named = large.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+        apart = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+        named = scratch.keep(named.join(apart, "band", "left_semi"), "apart")
+        if not named.isEmpty():
+            more = scratch.keep(verified(_crossed(named, F.col("a.root") != F.col("b.root")), sets), "across")
+            if not more.isEmpty():
+                roots = connected_components(spark, links.union(more), scratch)
+    roots = roots.withColumnRenamed("node", "__node")
+    return marked.join(roots, marked["node"] == roots["__node"], "left").select("rid", "id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each component the row with the least id stays, with all its columns.
+
+    Rows without an id come after all others of their component; of rows that share id and component the one with the least hash
+    of id and text stays, and of rows that repeat both, one.
+    """
+    found = near_copies(spark, docs, id_col, text_col)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"))
+    keep = best.select(F.col("first.rid").alias("__rid"))
+    keyed = docs.withColumn("__rid_of_row", row_key(id_col, text_col))
+    return keyed.join(keep, keyed["__rid_of_row"] == keep["__rid"], "left_semi").dropDuplicates(["__rid_of_row"]).select(*docs.columns)
