@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .components import connected_components, forest
+from .neardup import row_key
 from .scratch import Scratch
 
 BITS, PARTS = 64, 4
@@ -311,8 +312,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The documents without near copies: of each component the row with the least id stays, with all its columns.
 
-    Of rows that repeat this id one stays; rows without an id stay only where their whole component has none.
+    Rows without an id come after all others of their component; of rows that share id and component the one with the least hash
+    of id and text stays, and of rows that repeat both, one.
     """
-    found = near_duplicates(spark, docs, id_col, text_col, **params)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]), "left_semi").dropDuplicates([id_col])
+    rid = row_key(id_col, text_col)
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), rid.alias("rid")).alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(spark, keyed, "key", "text", **params)
+    keep = found.select(F.col("component.rid").alias("__rid")).distinct()
+    named = docs.withColumn("__rid_of_row", rid)
+    return named.join(keep, named["__rid_of_row"] == keep["__rid"], "left_semi").dropDuplicates(["__rid_of_row"]).select(*docs.columns)

@@ -6,7 +6,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as pipeline
-from evidencelake.llm import neardup
+from evidencelake.llm import neardup, simhash
 
 COLUMNS = "doc_id long, text string"
 
@@ -80,3 +80,14 @@ def test_pipeline_drops_near_copies(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], COLUMNS)
     assert neardup.near_copies(spark, empty).count() == 0 and neardup.keep_one(spark, empty).count() == 0
+
+
+def test_rows_without_own_id_stay(spark):
+    """Unrelated texts that share an id, or have none, are each kept; copies of them are not."""
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(9)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:8]] + [(8, texts[8]), (None, texts[8]), (None, texts[0]), (7, texts[4]), (9, texts[5])]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    want = sorted([(-1, t) for t in texts[:4]] + [(7, t) for t in texts[4:8]] + [(8, texts[8])])
+    for keep_one in (simhash.keep_one, neardup.keep_one):
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.text) for x in keep_one(spark, docs).collect()) == want
