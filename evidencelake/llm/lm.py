@@ -1,8 +1,9 @@
 """Scoring of whole texts by a gated recurrent language model in numpy, trained on the corpus itself.
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space, each text ends in one end token. Word counts of all
-training documents are summed in Spark. The TOP commonest words have rows of their own in the network; its output softmax is
-factored: first a class, then the word within it. Top words stand in classes of CLASS_WORDS by rank, the end token in its own,
+training documents are summed in Spark. The commonest words, TOP or the root of the number of different words if that is more,
+have rows of their own in the network; its output softmax is factored: first a class, then the word within it. Top words stand
+in classes by rank, of CLASS_WORDS or the root of their number if that is more, the end token in its own,
 and all other words, the unseen too, in SURFACES classes by their last letter, punctuation and script, within which a word
 counted c has probability (c + 1) / (sum of all c + 1, and 1 for the unseen).
 
@@ -14,6 +15,7 @@ each document. Counts of words under 1 in COMMON tokens are not sent to the task
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +31,9 @@ from .scratch import Scratch
 HIDDEN, TOP, CLASS_WORDS, SURFACES = 16, 1024, 32, 32
 #: Words seen at least once in this many training tokens are sent to all tasks: 16 bytes each, so 16 MB at most.
 COMMON = 1 << 20
-#: A round trains on the documents of one of SHARES hash shares; there are ROUNDS rounds, each with another share.
-ROUNDS, SHARES, RATE, LANES, STEPS = 2, 4, 0.02, 128, 16
+#: A round trains on the documents of one of SHARES hash shares; there is a round for each, so that all are trained on.
+SHARES, RATE, LANES, STEPS = 4, 0.02, 128, 16
+ROUNDS = SHARES
 #: A short stream has fewer lanes, so that it still is this many windows long.
 LEAST_WINDOWS = 16
 #: Bytes of text that are scored, or trained on, together.
@@ -67,9 +70,14 @@ class Vocabulary:
     total: int
     types: int
 
+    @property
+    def width(self) -> int:
+        """Top words in a class."""
+        return max(CLASS_WORDS, math.isqrt(len(self.top_counts)))
+
     @property
     def groups(self) -> int:
-        return -(-max(1, len(self.top_counts)) // CLASS_WORDS)
+        return -(-max(1, len(self.top_counts)) // self.width)
 
     @property
     def classes(self) -> int:
@@ -96,6 +104,11 @@ class Vocabulary:
         return len(self.top_counts) + SURFACES
 
 
+def top_words(types: int) -> int:
+    """How many words have rows of their own."""
+    return max(TOP, math.isqrt(types))
+
+
 def training(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 7 != 2
 
@@ -116,7 +129,7 @@ def count_words(spark: SparkSession, docs: DataFrame, text_col: str, scratch: Sc
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     word = keys != _U(END)
-    rank = np.lexsort((keys[word], -n[word]))[:TOP]
+    rank = np.lexsort((keys[word], -n[word]))[: top_words(int(types))]
     top = np.full(len(keys), -1, dtype=np.int64)
     top[np.flatnonzero(word)[rank]] = np.arange(len(rank))
     surface = F.col("key").bitwiseAND(F.lit(SURFACES - 1))
@@ -132,15 +145,15 @@ def initial(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     """Parameters that give every word its share of the training tokens, whatever stands before."""
     rng = np.random.default_rng(seed)
     n_in = len(v.top_counts) + SURFACES + 1
-    weight = np.zeros(v.groups * CLASS_WORDS)
+    weight = np.zeros(v.groups * v.width)
     weight[: len(v.top_counts)] = v.top_counts
-    weight = weight.reshape(v.groups, CLASS_WORDS)
+    weight = weight.reshape(v.groups, v.width)
     share = np.concatenate((weight.sum(axis=1), v.surface_sum, [v.end_count])) + 1.0
     small = lambda *shape: rng.normal(0, 0.1, shape)
     out = {
         "E": small(n_in, 3 * HIDDEN), "U": small(HIDDEN, 3 * HIDDEN) * 2, "b": np.zeros(3 * HIDDEN),
         "C": small(HIDDEN, v.classes) * 0.1, "c": np.log(share / share.sum()),
-        "W": small(v.groups, HIDDEN, CLASS_WORDS) * 0.1, "w": np.where(weight > 0, np.log(np.maximum(weight, 1)), -30.0),
+        "W": small(v.groups, HIDDEN, v.width) * 0.1, "w": np.where(weight > 0, np.log(np.maximum(weight, 1)), -30.0),
     }
     return {k: x.astype(np.float32) for k, x in out.items()}
 
@@ -166,13 +179,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def _class_of(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     n_top = len(v.top_counts)
-    return np.where(ids < n_top, ids // CLASS_WORDS, v.groups + ids - n_top)
+    return np.where(ids < n_top, ids // v.width, v.groups + ids - n_top)
 
 
 def _by_group(v: Vocabulary, ids: np.ndarray):
     """Positions of the top words by class."""
     top = np.flatnonzero(ids < len(v.top_counts))
-    group = ids[top] // CLASS_WORDS
+    group = ids[top] // v.width
     order = np.argsort(group, kind="stable")
     top, group = top[order], group[order]
     ends = np.searchsorted(group, np.arange(v.groups + 1))
@@ -185,7 +198,7 @@ def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, hidden: np.ndarra
     """Natural logarithm of the class of each next token and, for top words, of the word within it."""
     out = _log_softmax(p["C"].T @ hidden.T + p["c"][:, None])[_class_of(v, ids), np.arange(len(ids))].astype(np.float64)
     for g, at in _by_group(v, ids):
-        out[at] += _log_softmax(p["W"][g].T @ hidden[at].T + p["w"][g][:, None])[ids[at] % CLASS_WORDS, np.arange(len(at))]
+        out[at] += _log_softmax(p["W"][g].T @ hidden[at].T + p["w"][g][:, None])[ids[at] % v.width, np.arange(len(at))]
     return out
 
 
@@ -214,7 +227,7 @@ def gradients(p: dict[str, np.ndarray], v: Vocabulary, before: np.ndarray, after
     g["C"], g["c"] = (d @ flat).T, d.sum(axis=1)
     dh = d.T @ p["C"].T
     for group, where in _by_group(v, ids):
-        sub, word = flat[where], ids[where] % CLASS_WORDS
+        sub, word = flat[where], ids[where] % v.width
         logp = _log_softmax(p["W"][group].T @ sub.T + p["w"][group][:, None])
         own = np.arange(len(where))
         loss -= float(logp[word, own].sum())
@@ -322,7 +335,7 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 def train(docs: DataFrame, text_col: str, v: Vocabulary, rounds: int = ROUNDS, shares: int = SHARES) -> dict[str, np.ndarray]:
     """The parameters after ``rounds`` of training in all tasks and averaging, weighted by tokens.
 
-    Driver data are AVERAGERS sets of parameters of under 0.3 MB; the averagers add up one set at a time.
+    Driver data are AVERAGERS sets of parameters, 0.3 MB each at TOP words; the averagers add up one set at a time.
     """
     p = initial(v)
     for turn in range(rounds):
