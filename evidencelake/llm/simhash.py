@@ -13,13 +13,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
 from .components import connected_components, forest
-from .neardup import row_key
+from .names import free_name
 from .scratch import Scratch
 
 BITS, PARTS = 64, 4
@@ -69,6 +69,12 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits for rows that agree in id and text, null ids and texts included."""
+    cells = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
+    return F.struct(F.xxhash64(*cells).alias("lo"), F.xxhash64(F.lit(1), *cells).alias("hi"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp long) for every row; a null or wordless text has fingerprint zero."""
 
@@ -102,6 +108,11 @@ def bit_groups(fps: DataFrame) -> list[list[int]]:
             n = max(1, r.n)
         else:
             counts[r.i, r.j] = counts[r.j, r.i] = r.n
+    return correlated(counts, n)
+
+
+def correlated(counts: np.ndarray, n: float) -> list[list[int]]:
+    """PARTS groups of WIDTH bits, the most correlated together, from the number of fingerprints that have each two of them."""
     p = counts.diagonal() / n
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     like = np.abs(counts / n - np.outer(p, p)) / np.outer(spread, spread)
@@ -135,16 +146,18 @@ def near_counts(histogram: np.ndarray, tau: int) -> np.ndarray:
     return np.cumsum(np.stack(layers), axis=0)
 
 
-def allocate(costs: np.ndarray) -> np.ndarray:
-    """Thresholds of least total cost; costs[p, t, q]: of probing partition p within t bits, for query q."""
-    parts, levels, n = costs.shape
+def allocate(costs: np.ndarray, levels: int | None = None) -> np.ndarray:
+    """Thresholds t of least total cost with sum(t[p] + 1) = levels (else as many as there are thresholds); costs[p, t, q]: of
+    probing partition p within t bits, for query q."""
+    parts, most, n = costs.shape
+    levels = most if levels is None else levels
     best = np.full((levels + 1, n), np.inf)
     best[0] = 0
     choice = np.zeros((parts, levels + 1, n), dtype=np.int8)
     for p in range(parts):
         new = np.full_like(best, np.inf)
         for total in range(levels + 1):
-            for used in range(total + 1):
+            for used in range(min(total, most) + 1):
                 c = best[total - used] + (costs[p, used - 1] if used else 0)
                 better = c < new[total]
                 new[total][better] = c[better]
@@ -318,6 +331,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     rid = row_key(id_col, text_col)
     keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), rid.alias("rid")).alias("key"), F.col(text_col).alias("text"))
     found = near_duplicates(spark, keyed, "key", "text", **params)
-    keep = found.select(F.col("component.rid").alias("__rid")).distinct()
-    named = docs.withColumn("__rid_of_row", rid)
-    return named.join(keep, named["__rid_of_row"] == keep["__rid"], "left_semi").dropDuplicates(["__rid_of_row"]).select(*docs.columns)
+    name = free_name(docs, "rid")
+    keep = found.select(F.col("component.rid").alias(name)).distinct()
+    return docs.withColumn(name, rid).join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
