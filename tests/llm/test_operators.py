@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -216,17 +217,99 @@ def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
     noise = [(1000 + k, " ".join("".join(r.choice("xyzq") for _ in range(9)) for _ in range(120)), "en") for k in range(5)]
     copies = [(2000 + k, clean[0][1], "en") for k in range(60)]
     docs = spark.createDataFrame(clean + noise + copies, "doc_id long, text string, lang string")
-    model = quality.train(spark, docs, "text", quality.Scratch(spark, "test"))
-    size = len(model.p1)
-    assert math.isclose(model.p1.sum(), 1)
-    for b in (quality.RARE, quality.EDGE, quality.FIRST, quality.FIRST + 3):
-        c = np.arange(size)
-        p = quality.find(model.key2, quality.hashed(np.full(size, b) << quality.SHIFT | c), model.a2, 0.0) + model.rest2[b] * model.p1
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
+    numbers, tables = quality.train(spark, docs, "text", quality.Scratch(spark, "test"))
+    model = quality.arrays(numbers, tables)
+    types = sorted({w for _, t, _ in clean + noise for w in t.split()})
+    ids = numbers.of(next(tokens.chunks(pa.array([" ".join(types)]))).words().hashes())
+    assert len(set(ids)) == len(types) and tables.trigrams.count() > 0 and tables.pairs.count() > 0
+    c = np.append(ids, quality.EDGE)
+    stored = [(r.y, r.x >> 32) for r in tables.trigrams.collect()[:3]]
+    for a, b in [*stored, (quality.EDGE, quality.EDGE), (quality.FIRST, quality.FIRST + 3), (int(ids[-1]), int(ids[0]))]:
+        assert math.isclose(model.probabilities(np.full(len(c), a), np.full(len(c), b), c).sum(), 1, rel_tol=1e-5)
     kept = {r.id: r.kept for r in quality.judge(spark, docs).collect()}
     assert not any(kept[i] for i, *_ in noise) and all(kept[i] for i, *_ in clean + copies)
 
 
+def brute_trigrams(texts):
+    """Log probabilities of documents under the stored model, n-gram by n-gram, with the words before counted exactly."""
+    seqs = [["<", "<", *(t or "").split(), ">"] for t in texts]
+    grams, left, pairs, ends = Counter(), {}, {}, {}
+    for s in seqs:
+        for k in range(2, len(s)):
+            a, b, c = s[k - 2 : k + 1]
+            b, c, a = (x.replace(">", "<") if x == ">" else x for x in (b, c, a))
+            grams[a, b, c] += 1
+            left.setdefault((a, b, c), set()).add(s[k - 3] if k > 2 else "<")
+            pairs.setdefault((b, c), set()).add(a)
+            ends.setdefault(c, set()).add(b)
+    seen = Counter()
+    for (_, b, c), n in grams.items():
+        seen[b, c] += n
+    discount = lambda counts: quality.discounts([sum(x == k for x in counts) for k in (1, 2, 3, 4)])
+    d1, d2, d3 = discount(list(map(len, ends.values()))), discount(list(map(len, pairs.values()))), discount(list(grams.values()))
+    need = lambda n: max(quality.LEAST_DIVERSE, min(quality.DIVERSE, n / quality.SHARE))
+    total, after = sum(map(len, ends.values())), Counter()
+    for (b, _), x in pairs.items():
+        after[b] += len(x)
+    p1 = {c: (len(x) - d1[min(3, len(x))]) / total for c, x in ends.items() if len(x) >= quality.LEAST_DIVERSE}
+    spare = (1 - sum(p1.values())) / len(ends)
+    one = lambda c: p1.get(c, 0) + spare
+    a2 = {k: (len(x) - d2[min(3, len(x))]) / after[k[0]] for k, x in pairs.items() if len(x) >= need(seen[k])}
+    a3 = {k: (n - d3[min(3, n)]) / seen[k[:2]] for k, n in grams.items() if len(left[k]) >= need(n) and len(pairs.get(k[:2], ())) >= quality.LEAST_DIVERSE}
+    gone2, gone3 = Counter(), Counter()
+    for k, v in a2.items():
+        gone2[k[0]] += v
+    for k, v in a3.items():
+        gone3[k[:2]] += v
+    out = []
+    for s in seqs:
+        s = [x.replace(">", "<") if x == ">" else x for x in s]
+        p2 = lambda b, c: a2.get((b, c), 0) + (1 - gone2[b]) * one(c)
+        out.append(sum(math.log(a3.get((s[k - 2], s[k - 1], s[k]), 0) + (1 - gone3[s[k - 2], s[k - 1]]) * p2(s[k - 1], s[k])) for k in range(2, len(s))))
+    return out
+
+
+@pytest.mark.parametrize(("bound", "hot"), [(quality.BOUND, 1000), (0, 5)])
+def test_trigram_model_against_brute_force(spark, monkeypatch, bound, hot):
+    """Both as arrays and by joins, and with hot pairs dealt to several tasks."""
+    import random
+
+    monkeypatch.setattr(quality, "HOT_SHARE", hot)
+    monkeypatch.setattr(quality, "different", lambda left: np.bitwise_count(left.view(np.uint64)).astype(float))
+    r = random.Random(9)
+    words = ["w%d" % min(k, int(r.expovariate(0.06))) for k in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 150))) for _ in range(150)] + [None, "", "once only"]
+    texts += [texts[0]] * 12
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    # bits that no two words share, so that the bitmaps count exactly
+    want = brute_trigrams(texts)
+    got = {x.id: x for x in quality.judge(spark, docs, bound=bound).collect()}
+    diff = [abs(got[k].log_perplexity + w / (got[k].n_words + 1)) for k, w in enumerate(want) if got[k].n_words]
+    assert max(diff) < 0.25 and float(np.median(diff)) < 0.05  # bitmaps of 64 bits: a few trigrams are stored or not
+    assert got[150].log_perplexity is None and not got[150].kept
+
+
+def test_bands_reject_menus_and_scrambled_words_but_not_copies(spark):
+    """Over-predictable boilerplate lies below the band, noise above it; copies, near copies and clean texts stay."""
+    import random
+
+    r = random.Random(14)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(1500)]
+    weight = [1 / (k + 3) for k in range(len(words))]
+    prose = lambda n: " ".join(r.choices(words, weight, k=n))
+    clean = [(k, prose(r.randint(80, 300)), "en") for k in range(500)]
+    base = clean[3][1].split()
+    near = [(1000 + k, " ".join(r.choice(words) if r.random() < 0.03 else w for w in base), "en") for k in range(40)]
+    copies = [(2000 + k, clean[5][1], "en") for k in range(60)]
+    menu = [(3000 + k, " | ".join(r.choices(words, weight, k=60)), "en") for k in range(30)]
+    noise = [(4000 + k, " ".join(w + "###" for w in prose(100).split()), "en") for k in range(10)]
+    docs = spark.createDataFrame(clean + near + copies + menu + noise, "doc_id long, text string, lang string").repartition(4)
+    got = {x.id: x for x in quality.judge(spark, docs).collect()}
+    kept = {i: x.kept for i, x in got.items()}
+    assert all(got[i].log_perplexity < got[i].low for i, *_ in menu) and all(got[i].log_perplexity > got[i].high for i, *_ in noise)
+    assert sum(kept[i] for i, *_ in clean) >= 0.98 * len(clean) and all(kept[i] for i, *_ in copies + near)
+
+
 def test_language_model(spark, docs, rows):
     got = lm.score(spark, docs).collect()
     split = {(i, t): brute.lowered(t or "").encode().split() + [None] for i, t, *_ in rows}
