@@ -26,10 +26,10 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
+    def keep(self, frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write the frame and return it as read back."""
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").option("compression", codec).parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(out)] = path
         return out
