@@ -269,19 +269,23 @@ def brute_trigrams(texts):
     return out
 
 
-@pytest.mark.parametrize(("bound", "hot"), [(quality.BOUND, 1000), (0, 5)])
-def test_trigram_model_against_brute_force(spark, monkeypatch, bound, hot):
-    """Both as arrays and by joins, and with hot pairs dealt to several tasks."""
+def test_bitmaps_count_words():
+    rng = np.random.default_rng(1)
+    for many, off in ((1, 0.1), (4, 0.5), (16, 0.25), (64, 0.25), (1000, 0.3)):
+        found = np.array([quality.different(np.bitwise_or.reduce(quality.bit_of(rng.integers(1 << 40, size=many)))[None])[0] for _ in range(60)])
+        assert abs(np.median(found) - many) <= off * many, (many, np.median(found))
+
+
+@pytest.mark.parametrize("bound", [quality.BOUND, 0])
+def test_trigram_model_against_brute_force(spark, bound):
+    """Both as arrays and by joins."""
     import random
 
-    monkeypatch.setattr(quality, "HOT_SHARE", hot)
-    monkeypatch.setattr(quality, "different", lambda left: np.bitwise_count(left.view(np.uint64)).astype(float))
     r = random.Random(9)
     words = ["w%d" % min(k, int(r.expovariate(0.06))) for k in range(300)]
     texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 150))) for _ in range(150)] + [None, "", "once only"]
     texts += [texts[0]] * 12
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
-    # bits that no two words share, so that the bitmaps count exactly
     want = brute_trigrams(texts)
     got = {x.id: x for x in quality.judge(spark, docs, bound=bound).collect()}
     diff = [abs(got[k].log_perplexity + w / (got[k].n_words + 1)) for k, w in enumerate(want) if got[k].n_words]
@@ -301,7 +305,7 @@ def test_bands_reject_menus_and_scrambled_words_but_not_copies(spark):
     base = clean[3][1].split()
     near = [(1000 + k, " ".join(r.choice(words) if r.random() < 0.03 else w for w in base), "en") for k in range(40)]
     copies = [(2000 + k, clean[5][1], "en") for k in range(60)]
-    menu = [(3000 + k, " | ".join(r.choices(words, weight, k=60)), "en") for k in range(30)]
+    menu = [(3000 + k, " | ".join(r.choices(words[:60], weight[:60], k=60)), "en") for k in range(30)]
     noise = [(4000 + k, " ".join(w + "###" for w in prose(100).split()), "en") for k in range(10)]
     docs = spark.createDataFrame(clean + near + copies + menu + noise, "doc_id long, text string, lang string").repartition(4)
     got = {x.id: x for x in quality.judge(spark, docs).collect()}
