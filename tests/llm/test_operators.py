@@ -411,6 +411,48 @@ def test_field_on_held_out_sentences():
     assert right / (right + wrong) > 0.9 and right / (right + lost) > 0.9
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@%-+ 9(é", max_size=30))
+def test_base_matches_the_plain_patterns(text):
+    import re
+
+    found = pii.base_spans(text)
+    assert [s[1:] for s in found if s[0] == "email"] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [s[1:] for s in found if s[0] == "ip"] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    field = pii.default_field()
+    for text in ("1" * 10**6, "a1" * 500_000, "a" * 10**6 + "@", "a@" * 500_000, "1." * 500_000, "a" * 10**6 + "@b.c"):
+        start = time.perf_counter()
+        pii.base_spans(text)
+        pii.field_spans(field, [text])
+        assert time.perf_counter() - start < 3
+
+
+def test_field_adds_what_patterns_miss(spark):
+    """Planted in prose: secrets and addresses without any digit, in all texts; and nothing in prose alone."""
+    import random
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice(("er", "on", "tha", "ing", "es", "and")) for _ in range(r.randint(1, 3)))
+    prose = lambda n: " ".join(word() + r.choice(("", "", "", ".", ",", " at")) for _ in range(n))
+    hexed = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    plant = (lambda: ("secret", f'token = "{hexed()}"'), lambda: ("email", f"{word()}.{word()} at example dot org"), lambda: ("email", f"{word()} [AT] example [dot] com"), lambda: ("email", f"{word()} (at) {word()}.net"))
+    rows, want = [], {}
+    for k in range(120):
+        kind, text = r.choice(plant)()
+        rows.append((k, f"{prose(30)} {text} {prose(30)}"))
+        want[k] = kind
+    rows += [(1000 + k, prose(80)) for k in range(60)]
+    got = {x.id: x for x in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not got[k].base for k in want)
+    assert sum(want[k] in {s.kind for s in got[k].spans} for k in want) >= 0.9 * len(want)
+    assert sum(bool(x.spans) for k, x in got.items() if k >= 1000) <= 2
+
+
 def test_viterbi_is_best_path():
     from itertools import product
 
