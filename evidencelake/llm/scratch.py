@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,4 +51,5 @@ class Scratch:
         """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's
         garbage is next collected."""
         gc.collect()
+        time.sleep(1.2)  # a thread that looks once a second lets go of what Python has dropped
         self.spark._jvm.System.gc()
