@@ -7,8 +7,9 @@ in classes by rank, of CLASS_WORDS or the root of their number if that is more,
 and all other words, the unseen too, in SURFACES classes by their last letter, punctuation and script, within which a word
 counted c has probability (c + 1) / (sum of all c + 1, and 1 for the unseen).
 
-Training is local: every task runs truncated backpropagation over its share of the training documents, states carried from
-window to window, and the parameters of all tasks are averaged after each round. Scoring carries the state through the whole of
+Training is local: the training documents are dealt by a hash of id and text to shards of about SHARD_TOKENS tokens. In each
+shard truncated backpropagation runs over its documents in the order of that hash, states carried from window to window, and the
+parameters of a round's shards are averaged. So neither files nor partitions nor cores change what is learnt. Scoring carries the state through the whole of
 each document. Counts of words under 1 in COMMON tokens are not sent to the tasks but joined by hash.
 """
 
@@ -31,8 +32,9 @@ from .scratch import Scratch
 HIDDEN, TOP, CLASS_WORDS, SURFACES = 16, 1024, 32, 32
 #: Words seen at least once in this many training tokens are sent to all tasks: 16 bytes each, so 16 MB at most.
 COMMON = 1 << 20
-#: A round trains on the documents of one of SHARES hash shares; there is a round for each, so that all are trained on.
-SHARES, RATE, LANES, STEPS = 4, 0.02, 128, 16
+#: A round trains on one of SHARES shares of the shards; there is a round for each, so that all are trained on.
+SHARES, RATE, LANES, STEPS = 4, 0.03, 512, 16
+SHARD_TOKENS = 1 << 20
 ROUNDS = SHARES
 #: A short stream has fewer lanes, so that it still is this many windows long.
 LEAST_WINDOWS = 16
@@ -296,14 +298,15 @@ def token_stream(v: Vocabulary, column) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def train_on(p: dict[str, np.ndarray], v: Vocabulary, adam: Adam, ids: np.ndarray, begin: np.ndarray) -> None:
-    """Truncated backpropagation over a stream of documents, cut into lanes; the state is carried from window to window."""
+    """Truncated backpropagation over a stream of documents, cut into lanes; the state is carried from window to window. The last
+    lane is filled up from the beginning of the stream."""
     lanes = int(min(LANES, max(1, len(ids) // (STEPS * LEAST_WINDOWS))))
-    length = len(ids) // lanes
+    length = -(-len(ids) // lanes)
     fresh = np.zeros(len(ids), dtype=bool)
     fresh[begin[:-1]] = True
     before = np.append(v.end, ids[:-1])
     before[begin[:-1]] = v.end
-    lane = lambda x: x[: lanes * length].reshape(lanes, length).T
+    lane = lambda x: np.resize(x, lanes * length).reshape(lanes, length).T
     before, after, fresh = lane(before), lane(ids), lane(fresh).copy()
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     for t in range(0, length, STEPS):
@@ -332,40 +335,39 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(docs: DataFrame, text_col: str, v: Vocabulary, rounds: int = ROUNDS, shares: int = SHARES) -> dict[str, np.ndarray]:
-    """The parameters after ``rounds`` of training in all tasks and averaging, weighted by tokens.
+def train(docs: DataFrame, id_col: str, text_col: str, v: Vocabulary, rounds: int = ROUNDS, shares: int = SHARES) -> dict[str, np.ndarray]:
+    """The parameters after ``rounds`` of training in all shards and averaging, weighted by tokens.
 
     Driver data are AVERAGERS sets of parameters, 0.3 MB each at TOP words; the averagers add up one set at a time.
     """
     p = initial(v)
+    shards = shares * -(-max(1, v.total) // (shares * SHARD_TOKENS))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), key.alias("k"), F.col(text_col).alias("text"))
     for turn in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast((p, v.top_only()))
 
-        def run(batches, held=held):
+        def learnt(table: pa.Table, held=held) -> pa.Table:
             p, v = held.value
             p = {k: x.copy() for k, x in p.items()}
-            adam, seen = Adam(p, RATE), 0
-            for batch in _grouped(batches, 0):
-                ids, begin, _, _ = token_stream(v, batch.column(0))
-                if len(ids):
-                    train_on(p, v, adam, ids, begin)
-                    seen += len(ids)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(p).tobytes()]), pa.array([float(seen)])], names=["p", "n"])
-
-        def average(batches):
+            table = table.sort_by("k")
+            ids, begin, _, _ = token_stream(v, table["text"])
+            train_on(p, v, Adam(p, RATE), ids, begin)
+            return pa.table({"shard": table["shard"][:1], "p": pa.array([_pack(p).tobytes()]), "n": pa.array([float(len(ids))])})
+
+        def average(table: pa.Table) -> pa.Table:
             total, n = 0.0, 0.0
-            for batch in batches:
-                for flat, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    total, n = total + seen * np.frombuffer(flat, dtype=np.float32).astype(np.float64), n + seen
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()]), pa.array([n])], names=["p", "n"])
-
-        share = docs.where(F.pmod(F.xxhash64(text_col), F.lit(shares)) == turn % shares).select(F.col(text_col).alias("text"))
-        rows = share.mapInArrow(run, "p binary, n double").repartition(AVERAGERS).mapInArrow(average, "p binary, n double").collect()
-        if rows:
-            n = sum(r.n for r in rows)
-            p = _unpack(sum(r.n / n * np.frombuffer(r.p, dtype=np.float32).astype(np.float64) for r in sorted(rows, key=lambda r: bytes(r.p))), p)
+            for row in table.sort_by("shard").to_pylist():
+                total, n = total + row["n"] * np.frombuffer(row["p"], dtype=np.float32).astype(np.float64), n + row["n"]
+            return pa.table({"shard": table["shard"][:1], "p": pa.array([(total / n).astype(np.float32).tobytes()]), "n": pa.array([n])})
+
+        shape = "shard long, p binary, n double"
+        found = rows.where(F.col("shard") % shares == turn % shares).groupBy("shard").applyInArrow(learnt, shape)
+        sums = found.groupBy((F.col("shard") % AVERAGERS).alias("averager")).applyInArrow(average, shape).collect()
+        if sums:
+            n = sum(r.n for r in sums)
+            p = _unpack(sum(r.n / n * np.frombuffer(r.p, dtype=np.float32).astype(np.float64) for r in sorted(sums, key=lambda r: r.shard % AVERAGERS)), p)
+        held.destroy()
     return p
 
 
@@ -422,7 +424,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training(F.col(id_col)), F.lit(False)).alias("learns"))
     learn = source.where("learns")
     v, counts = count_words(spark, learn, "text", scratch)
-    p = train(learn, "text", v, rounds, shares)
+    p = train(learn, "id", "text", v, rounds, shares)
     held = spark.sparkContext.broadcast((p, v))
     inner = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("net", T.DoubleType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
     names = [f.name for f in inner]
