@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -335,6 +336,28 @@ def _unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+def learner(held: Broadcast):
+    """From the rows (shard, k, text) of a shard to (shard, p, n): what training leaves of the held parameters, and tokens."""
+
+    def learnt(table: pa.Table) -> pa.Table:
+        p, v = held.value
+        p = {k: x.copy() for k, x in p.items()}
+        table = table.sort_by("k")
+        ids, begin, _, _ = token_stream(v, table["text"])
+        train_on(p, v, Adam(p, RATE), ids, begin)
+        return pa.table({"shard": table["shard"].slice(0, 1), "p": pa.array([_pack(p).tobytes()]), "n": pa.array([float(len(ids))])})
+
+    return learnt
+
+
+def average(table: pa.Table) -> pa.Table:
+    """The mean of the parameters (shard, p, n), weighted by tokens and added up in the order of shards."""
+    total, n = 0.0, 0.0
+    for row in table.sort_by("shard").to_pylist():
+        total, n = total + row["n"] * np.frombuffer(row["p"], dtype=np.float32).astype(np.float64), n + row["n"]
+    return pa.table({"shard": table["shard"].slice(0, 1), "p": pa.array([(total / n).astype(np.float32).tobytes()]), "n": pa.array([n])})
+
+
 def train(docs: DataFrame, id_col: str, text_col: str, v: Vocabulary, rounds: int = ROUNDS, shares: int = SHARES) -> dict[str, np.ndarray]:
     """The parameters after ``rounds`` of training in all shards and averaging, weighted by tokens.
 
@@ -346,23 +369,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, v: Vocabulary, rounds: in
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), key.alias("k"), F.col(text_col).alias("text"))
     for turn in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast((p, v.top_only()))
-
-        def learnt(table: pa.Table, held=held) -> pa.Table:
-            p, v = held.value
-            p = {k: x.copy() for k, x in p.items()}
-            table = table.sort_by("k")
-            ids, begin, _, _ = token_stream(v, table["text"])
-            train_on(p, v, Adam(p, RATE), ids, begin)
-            return pa.table({"shard": table["shard"][:1], "p": pa.array([_pack(p).tobytes()]), "n": pa.array([float(len(ids))])})
-
-        def average(table: pa.Table) -> pa.Table:
-            total, n = 0.0, 0.0
-            for row in table.sort_by("shard").to_pylist():
-                total, n = total + row["n"] * np.frombuffer(row["p"], dtype=np.float32).astype(np.float64), n + row["n"]
-            return pa.table({"shard": table["shard"][:1], "p": pa.array([(total / n).astype(np.float32).tobytes()]), "n": pa.array([n])})
-
         shape = "shard long, p binary, n double"
-        found = rows.where(F.col("shard") % shares == turn % shares).groupBy("shard").applyInArrow(learnt, shape)
+        found = rows.where(F.col("shard") % shares == turn % shares).groupBy("shard").applyInArrow(learner(held), shape)
         sums = found.groupBy((F.col("shard") % AVERAGERS).alias("averager")).applyInArrow(average, shape).collect()
         if sums:
             n = sum(r.n for r in sums)
