@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import free_name, moved
 from .scratch import Scratch
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -101,7 +102,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     A line's key is the line stripped of ASCII white space and lower-cased (A-Z). Keys of ``least_chars`` code points or more
     found in two documents go everywhere but in the smallest id that holds them, where all their lines stay. Null and empty
     texts are one empty line; lines with shorter keys stay. Rows without an id are one document after all others; rows that
-    repeat an id are the same document, so their common lines stay in both. An empty table stays empty. Extra columns stay.
+    repeat an id are the same document, so their common lines stay in both. An empty table stays empty. Extra columns stay; those
+    of the new names with further underscores before them. Ids are whole numbers of 64 bits; the greatest is taken for none.
 
     The corpus is fed to the runs in ``batches`` ranges of ids. Texts are read twice and shuffled once; the runs hold hashes.
     """
@@ -118,9 +120,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     for more in gone[1:]:
         dropped = dropped.union(more)
     scratch.drop(lines)
-    per_row = dropped.groupBy("doc", "rid").agg(F.array_sort(F.collect_set("line")).alias("__gone")).select(F.col("doc").alias("__doc"), F.col("rid").alias("__rid"), "__gone")
+    docs = moved(docs, "__kept", "__n_dropped")
+    doc, rid, numbers = (free_name(docs, name) for name in ("doc", "rid", "gone"))
+    per_row = dropped.groupBy(F.col("doc").alias(doc), F.col("rid").alias(rid)).agg(F.array_sort(F.collect_set("line")).alias(numbers))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__rid": F.xxhash64(text)})
-    joined = keyed.join(per_row.hint("shuffle_hash"), ["__doc", "__rid"], "left").drop("__doc", "__rid")
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept_lines(F.split(text, "\n", -1), F.col("__gone")), "\n"))
-    return joined.withColumns({"__kept": kept, "__n_dropped": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))}).drop("__gone")
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), rid: F.xxhash64(text)})
+    joined = keyed.join(per_row.hint("shuffle_hash"), [doc, rid], "left").drop(doc, rid)
+    kept = F.when(F.col(numbers).isNull(), text).otherwise(F.array_join(kept_lines(F.split(text, "\n", -1), F.col(numbers)), "\n"))
+    return joined.withColumns({"__kept": kept, "__n_dropped": F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers))}).drop(numbers)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import free_name
 from .scratch import Scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -199,6 +200,8 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, **params) -> DataFrame:
     """The documents that the mix takes, with columns ``copies`` and ``taken`` added (in place of any of these names); rows equal in
     id and text become one."""
-    got = mix(spark, docs, id_col, text_col, seed=seed, **params).where("copies > 0").groupBy(F.col("rid").alias("__got")).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
-    marked = docs.drop("copies", "taken").withColumn("__rid", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)))
-    return marked.join(got, marked["__rid"] == got["__got"]).dropDuplicates(["__rid"]).drop("__rid", "__got")
+    docs = docs.drop("copies", "taken") if id_col not in ("copies", "taken") else docs
+    rid, own = free_name(docs, "rid"), free_name(docs, "own")
+    got = mix(spark, docs, id_col, text_col, seed=seed, **params).where("copies > 0").groupBy(F.col("rid").alias(rid), F.col("id").alias(own)).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    marked = docs.withColumns({rid: F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)), own: F.struct(id_col)})
+    return marked.join(got.withColumn(own, F.struct(F.col(own).alias(id_col))), [rid, own]).dropDuplicates([rid, own]).drop(rid, own)

@@ -11,3 +11,11 @@ def free_name(frame: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def moved(frame: DataFrame, *names: str) -> DataFrame:
+    """The frame with any columns of these names moved to free ones, with further underscores before them."""
+    for name in frame.columns:
+        if name.lower() in names:
+            frame = frame.withColumnRenamed(name, free_name(frame, f"_{name}"))
+    return frame

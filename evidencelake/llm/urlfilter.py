@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import free_name, moved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Site rules of the query: host and path, verdict.
 SITE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -55,7 +57,8 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with ``__host``, ``__path``, ``__rule``, ``__weight`` and ``__verdict``.
+    """``pages`` with ``__host``, ``__path``, ``__rule``, ``__weight`` and ``__verdict``; columns that it has of these names stay with
+    further underscores before them.
 
     Of the rules that fit, the one of greatest weight wins, the first in order of its text among equals; with none the rule is
     null and the verdict ``default``. Null urls and those without ``://`` have an empty address, which rules may fit too.
@@ -65,6 +68,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     Spark sends them to the executors by its own size check, and shuffles both sides on the token otherwise.
     """
     host, path = split_url(F.col(url_col))
+    pages = moved(pages, "__host", "__path", "__rule", "__weight", "__verdict")
+    won = free_name(pages, "best")
     keyed = pages.withColumns({"__host": host, "__path": path})
     addresses = keyed.select("__host", "__path").distinct().withColumn("address", F.concat("__host", "__path"))
     words = addresses.select("address", "__host", "__path", F.explode(tokens_of(F.col("address"))).alias("token"))
@@ -75,6 +80,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     distinct = literals.distinct().join(seen, "token").groupBy("rule", "pattern", "verdict", "weight").agg(F.count("*").alias("held"), F.min(F.struct("n", "token")).alias("rarest"))
     index = distinct.join(whole, ["rule", "pattern", "verdict", "weight"]).where("held = all").select("rule", "pattern", "verdict", "weight", F.col("rarest.token").alias("token"))
     fits = words.join(index, "token").where(F.rlike("address", F.col("pattern")))
-    best = fits.groupBy("__host", "__path").agg(F.min(F.struct((-F.col("weight")).alias("order"), "rule", "verdict")).alias("__best"))
+    best = fits.groupBy("__host", "__path").agg(F.min(F.struct((-F.col("weight")).alias("order"), "rule", "verdict")).alias(won))
     joined = keyed.join(best, ["__host", "__path"], "left")
-    return joined.withColumns({"__rule": F.col("__best.rule"), "__weight": -F.col("__best.order"), "__verdict": F.coalesce("__best.verdict", F.lit(default))}).drop("__best")
+    return joined.withColumns({"__rule": F.col(f"{won}.rule"), "__weight": -F.col(f"{won}.order"), "__verdict": F.coalesce(f"{won}.verdict", F.lit(default))}).drop(won)

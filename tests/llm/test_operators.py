@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidencelake.llm import components, cotrain, decontamination, linededup, lm, mixing, pii, quality, simhash, substrings, tokens, urlfilter
+from evidencelake.llm import components, cotrain, decontamination, linededup, lm, mixing, pii, quality, simhash, simwide, substrings, tokens, urlfilter
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, id string, rid long, doc string, size int, kept string, copies int, key string, fp long"
@@ -526,3 +526,25 @@ def test_words_and_hashes(texts, limit):
             w = body[words.starts[k] : words.ends[k]]
             assert seen.setdefault(w, int(h[k])) == h[k]
     assert found == [brute.WORD.findall(t or "") for t in texts] and len(set(seen.values())) == len(seen)
+
+
+NAMES = ("__gone", "__doc", "__rid", "__kept", "__n_dropped", "__best", "__host", "__path", "__rule", "__weight", "__verdict", "__got", "__own", "rid", "own", "doc", "gone", "best", "copy", "key")
+
+
+def test_columns_of_any_name_stay(spark):
+    """Columns with the names that operators use keep their values; those of new columns' names get underscores."""
+    texts = ["one line of some words\nsecond line that is long", "one line of some words\nthird line that is long", None, ""]
+    docs = spark.createDataFrame([(k, t, "en", "a", "http://a.example.com/en/", *(f"{n}{k}" for n in NAMES)) for k, t in enumerate(texts)], ", ".join(["doc_id long", "text string", "lang string", "source string", "url string", *(f"{n} string" for n in NAMES)]))
+    frames = {
+        "lines": linededup.drop_repeated_lines(spark, docs), "urls": urlfilter.judge_urls(docs, urlfilter.rule_table(spark, [urlfilter.site_rule(*r) for r in urlfilter.SITE_RULES])), "mix": mixing.mixed_documents(spark, docs),
+        "sim": simhash.keep_one(spark, docs), "wide": simwide.keep_one(spark, docs), "clean": decontamination.clean_documents(spark, docs, spark.createDataFrame([(1, "not in it")], "item_id long, text string")),
+    }
+    for name, frame in frames.items():
+        rows = frame.collect()
+        assert rows, name
+        for row in rows:
+            values = {v for v in row.asDict().values() if isinstance(v, str)}
+            assert {f"{n}{row.doc_id}" for n in NAMES} <= values, (name, {f"{n}{row.doc_id}" for n in NAMES} - values)
+    assert {r.doc_id: r["__n_dropped"] for r in frames["lines"].collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    assert {r["__verdict"] for r in frames["urls"].collect()} == {"block"}
+    assert quality.judge(spark, docs).count() == 4 and quality.keep_good(spark, docs).columns == docs.columns
