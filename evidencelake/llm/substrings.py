@@ -262,9 +262,10 @@ def covered_windows(rows: DataFrame) -> DataFrame:
 def asked_windows(source: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The windows to verify, and the rows that copy a whole text of a smaller document."""
     rows = scratch.keep(anchor_rows(source.select("doc", "rid", "text"), window), "anchors")
-    whole = rows.where(F.col("kind") == DOC).select("rid", "doc").distinct()
-    least = whole.groupBy("rid").agg(F.min("doc").alias("least"))
-    copies = scratch.keep(whole.join(least, "rid").where("doc > least").select("rid", "doc"), "copies")
+    long = rows.where(F.col("kind") == DOC).select("rid", "doc").distinct()
+    whole = source.select("rid", F.xxhash64(F.lit(1), "text").alias("more"), "doc").distinct().join(long, ["rid", "doc"])  # equal by 128 bits
+    least = whole.groupBy("rid", "more").agg(F.min("doc").alias("least"))
+    copies = scratch.keep(whole.join(least, ["rid", "more"]).where("doc > least").select("rid", "doc").distinct(), "copies")
     found = rows.where(F.col("kind") == SETTLED).select("rid", "doc", "span").union(shared_anchors(rows))
     found = found.join(copies, ["rid", "doc"], "left_anti")
     spans = found.groupBy("rid", "doc").agg(F.collect_set("span").alias("spans"))
