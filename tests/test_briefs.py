@@ -64,3 +64,19 @@ def test_measurement_scales(spark):
 @pytest.mark.parametrize(("value", "want"), [(0, "diagenetic/burial conditions"), (699.9, "upper amphibolite facies (sillimanite zone)"), (700, "granulite facies"), (1800, None), (-1, None)])
 def test_bands(spark, value, want):
     assert one(spark, b=briefs.band(F.lit(float(value)), briefs.TEMPERATURE_BANDS)).b == want
+
+
+def test_novelty_over_any_white_space(spark):
+    texts = ["a novel\nmethod for dating", "the first  time that this was seen", "we\treview the field", "this is consistent\n with others", "an ordinary text", None, ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", extraction.novelty(F.col("t")).alias("n")).orderBy("k").collect()
+    assert [r.n for r in got] == ["methodological", "milestone", "review", "confirmation", "incremental", "incremental", "incremental"]
+
+
+def test_titles_and_findings(spark):
+    titles = {"1234567890 123": True, "all lower case title here": False, "ALL UPPER CASE TITLE HERE": True, "A 12345 67890": False, "farley2000keyonly": False, "VOL. 12 of Something": False, "A proper title of a paper": True, None: False, "Short": False}
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", briefs.good_title(F.col("t")).alias("g")).collect()
+    assert {r.t: r.g for r in got} == titles
+    plain = "The samples show a strong rise of pressure with depth in all wells"
+    findings = {plain: True, plain + " <b>": False, "Keywords: " + plain: False, plain + " write to me@host.org": False, plain + " at 12 , 13 (2001) of": False, "short": False, plain + " corresponding author: x": False, plain + " in figure a.": False, None: False}
+    got = spark.createDataFrame([(t,) for t in findings], "t string").select("t", briefs.good_finding(F.col("t")).alias("g")).collect()
+    assert {r.t: r.g for r in got} == findings
