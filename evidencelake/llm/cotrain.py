@@ -2,9 +2,10 @@
 
 Two linear classifiers see a document from two sides: one its content (which words and punctuation runs it has), one its page
 metadata (language, source, size, layout and character shares). Both learn from a bounded sample of labelled documents. Over
-some rounds each labels a bounded pool of other documents, and those it is surest of, as many of each class as the class's
-share asks for, join the training set of the other. A logistic calibration on labelled documents kept aside weighs the two
-views; the combined probability scores all documents. One pair of views is trained for quality and one for toxicity.
+some rounds each labels all other documents, and those it is surest of, as many of each class as the class's share asks for,
+join the training set of the other. A logistic calibration on labelled documents kept aside weighs the two views; the combined
+probability scores all documents. One pair of views is trained for quality and one for toxicity. Features are taken from the
+texts once and kept as bytes; rounds and scoring read these.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .scratch import Scratch
 
-#: Labelled documents the classifiers learn from and documents of the pool they exchange labels on, at most; drawn by hash.
-LABELLED, POOL = 8_000, 8_000
-ROUNDS, EXCHANGED = 3, 400
+#: Labelled documents the classifiers learn from, at most; drawn by hash.
+LABELLED = 8_000
+#: A round gives each view about so many documents of which the other is surest, with a logit past SURE.
+ROUNDS, EXCHANGED, SURE = 3, 400, 2.0
+BINS_A_UNIT, DRAWS = 100, 1 << 20
 CONTENT_BITS, META_BITS, SIGMAS = 16, 10, 4.0
 TARGETS = ("quality", "toxic")
 #: A document is kept from this quality on and below this toxicity. Short clean texts show little: half would lose many.
@@ -163,37 +167,87 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x @ self.beta[:-1] + self.beta[-1], -30, 30)))
 
 
-def cotrain(labelled: list[Rows], y: np.ndarray, aside: np.ndarray, pool: list[Rows], rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Classifier:
-    """Train both views on the labelled rows that are not aside, exchange labels on the pool, and calibrate on the others."""
-    bits = (CONTENT_BITS, META_BITS)
-    learn = np.flatnonzero(~aside)
-    n = len(pool[0].of) - 1
-    share = float(y[learn].mean()) if len(learn) else 0.5
-    given: list[dict[int, float]] = [{}, {}]
-    views: list[tuple[np.ndarray, float]] = []
-    for turn in range(rounds + 1):
-        views = []
-        for v in (0, 1):
-            own, extra = labelled[v].take(learn), pool[v].take(np.array(sorted(given[v]), dtype=np.int64))
-            rows = Rows(np.concatenate((own.ids, extra.ids)), np.concatenate((own.of, own.of[-1] + extra.of[1:])))
-            views.append(fit(rows, np.concatenate((y[learn], [given[v][k] for k in sorted(given[v])])), bits[v]))
-        if turn == rounds or not n:
-            break
-        for v in (0, 1):
-            logit = pool[v].dot(views[v][0]) + views[v][1]
-            order = np.argsort(logit, kind="stable")
-            free = order[~np.isin(order, list(given[1 - v]))]
-            yes = int(round(min(exchanged, len(free) // 4) * share))
-            for k in free[len(free) - yes :]:
-                if logit[k] > 2:
-                    given[1 - v][int(k)] = 1.0
-            for k in free[: min(exchanged, len(free) // 4) - yes]:
-                if logit[k] < -2:
-                    given[1 - v][int(k)] = 0.0
-    out = Classifier(views, np.array([0.5, 0.5, 0.0]))
-    rest = np.flatnonzero(aside)
-    if len(rest) > 10 and 0 < y[rest].mean() < 1:
-        out.beta = calibrate(out.logits([r.take(rest) for r in labelled]), y[rest])
+def joined(a: Rows, b: Rows) -> Rows:
+    return Rows(np.concatenate((a.ids, b.ids)), np.concatenate((a.of, a.of[-1] + b.of[1:])))
+
+
+@dataclass
+class Pair:
+    """Both views of one target in training: what each has been given of the other's surest documents, by id."""
+
+    labelled: list[Rows]
+    y: np.ndarray
+    learn: np.ndarray
+    given: list[dict]  # id: (label, content, meta)
+
+    def fitted(self) -> list[tuple[np.ndarray, float]]:
+        out = []
+        for v, bits in enumerate((CONTENT_BITS, META_BITS)):
+            more = [self.given[v][k] for k in sorted(self.given[v], key=str)]
+            rows = joined(self.labelled[v].take(self.learn), _rows([m[1 + v] for m in more]))
+            out.append(fit(rows, np.concatenate((self.y[self.learn], [float(m[0]) for m in more])), bits))
+        return out
+
+    def wanted(self, exchanged: int) -> dict[int, int]:
+        """How many documents of each label a round exchanges."""
+        yes = int(round(exchanged * float(self.y[self.learn].mean())))
+        return {1: yes, 0: exchanged - yes}
+
+    def classifier(self, aside: np.ndarray) -> Classifier:
+        out = Classifier(self.fitted(), np.array([0.5, 0.5, 0.0]))
+        rest = np.flatnonzero(aside)
+        if len(rest) > 10 and 0 < self.y[rest].mean() < 1:
+            out.beta = calibrate(out.logits([r.take(rest) for r in self.labelled]), self.y[rest])
+        return out
+
+
+def surest(pool: DataFrame, views: list[list[tuple[np.ndarray, float]]], wanted: list[dict[int, int]]) -> dict[tuple[int, int, int], list]:
+    """For each target, view and label: rows (id, content, meta) of all the pool of which the view is surest, about as many as wanted.
+
+    Logits are counted in bins over the whole pool; the bin in which the wanted number is reached is drawn from by hash of the id.
+    """
+    held = pool.sparkSession.sparkContext.broadcast(views)
+    sides = [(t, v, label) for t in range(len(views)) for v in (0, 1) for label in (0, 1)]
+
+    def bins(batch):
+        rows = [_rows(batch.column(c).to_pylist()) for c in ("content", "meta")]
+        for k, (t, v, label) in enumerate(sides):
+            w, bias = held.value[t][v]
+            logit = (rows[v].dot(w) + bias) * (1 if label else -1)
+            yield k, np.where(logit > SURE, np.minimum(logit, 20) * BINS_A_UNIT, -1).astype(np.int64)
+
+    def count(batches):
+        total = np.zeros((len(sides), 20 * BINS_A_UNIT + 1), dtype=np.int64)
+        for batch in batches:
+            for k, b in bins(batch):
+                total[k] += np.bincount(b[b >= 0], minlength=total.shape[1])
+        k, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(total[k, b])], names=["k", "bin", "n"])
+
+    counts = np.zeros((len(sides), 20 * BINS_A_UNIT + 1), dtype=np.int64)
+    for r in pool.select("content", "meta").mapInArrow(count, "k long, bin long, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[r.k, r.bin] = r.n
+    cuts = []
+    for (t, _, label), n in zip(sides, counts, strict=True):
+        above = np.cumsum(n[::-1])[::-1]
+        at = int((above >= wanted[t][label]).sum()) - 1  # the last bin with enough from it on
+        cuts.append((at, (wanted[t][label] - (above[at + 1] if at + 1 < len(n) else 0)) / max(1, n[at]) if at >= 0 else 1.0))
+
+    def take(batches):
+        for batch in batches:
+            draw = batch.column("draw").to_numpy().view(_U) % _U(DRAWS)
+            for k, b in bins(batch):
+                at, share = cuts[k]
+                some = np.flatnonzero((b >= 0) & ((b > at) | ((b == at) & (draw < share * DRAWS))))
+                if len(some):
+                    rows = batch.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), *(rows.column(c) for c in ("id", "content", "meta"))], names=["k", "id", "content", "meta"])
+
+    shape = T.StructType([T.StructField("k", T.LongType()), *(pool.schema[c] for c in ("id", "content", "meta"))])
+    out: dict[tuple[int, int, int], list] = {}
+    for r in pool.mapInArrow(take, shape).collect():
+        out.setdefault(sides[r.k], []).append((r.id, r.content, r.meta))
+    held.destroy()
     return out
 
 
@@ -223,34 +277,40 @@ def _rows(column) -> Rows:
     return Rows(np.concatenate([*parts, np.zeros(0, dtype=np.int64)]), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Classifier]:
-    """A classifier for each target. ``docs``: id, text, lang, source; ``labels``: doc_id and the targets.
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> dict[str, Classifier]:
+    """A classifier for each target. ``docs``: id, draw, content, meta; ``labels``: doc_id and the targets.
 
-    Driver data: features of at most ``labelled`` + about ``pool`` documents, both drawn by hash of the id.
+    Driver data: features of at most ``labelled`` labelled documents and of those that are exchanged.
     """
     draw = F.xxhash64(F.col("id").cast("string"), F.lit("draw"))
     marked = labels.select(F.col("doc_id").alias("id"), *TARGETS).dropna().groupBy("id").agg(*(F.max(t).alias(t) for t in TARGETS))
     marked = marked.orderBy(draw, "id").limit(labelled)
-    known = docs.join(F.broadcast(marked), "id").orderBy(draw, "id", F.xxhash64("text")).limit(labelled) if labelled <= 100_000 else docs.join(marked, "id")
-    known = features(known, ["id", *TARGETS]).toArrow()
-    n = max(1, docs.count())
-    share = int(min(1.0, pool / n) * 2**32)
-    other = docs.where((F.pmod(draw, F.lit(2**32)) < share)).join(F.broadcast(marked.select("id")), "id", "left_anti")
-    other = features(other, ["id"]).toArrow()
-    sides = [[_rows(t[c].to_pylist()) for c in ("content", "meta")] for t in (known, other)]
+    if labelled <= 100_000:
+        marked = F.broadcast(marked)
+    known = docs.join(marked, "id").orderBy("draw", "id", F.xxhash64("content", "meta")).limit(labelled).toArrow()
+    pool = docs.join(marked.select("id"), "id", "left_anti")
+    rows = [_rows(known[c].to_pylist()) for c in ("content", "meta")]
     aside = np.array([int(tokens.splitmix(np.array([hash_text(str(i))], dtype=_U))[0] % _U(5)) == 0 for i in known["id"].to_pylist()], dtype=bool)
-    out = {}
+    out, pairs = {}, {}
     for target in TARGETS:
         y = np.minimum(known[target].to_numpy().astype(float), 1.0)
         if len(y) < 20 or not 0 < y[~aside].mean() < 1:  # nothing to learn: all get the share of the labels
             p = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
             out[target] = Classifier([(np.zeros(1 << b), 0.0) for b in (CONTENT_BITS, META_BITS)], np.array([0.0, 0.0, np.log(p / (1 - p))]))
         else:
-            out[target] = cotrain(sides[0], y, aside, sides[1])
-    return out
-
-
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+            pairs[target] = Pair(rows, y, np.flatnonzero(~aside), [{}, {}])
+    exchanged = min(exchanged, pool.count() // 4) if pairs else 0
+    for _ in range(rounds if exchanged else 0):
+        found = surest(pool, [pair.fitted() for pair in pairs.values()], [pair.wanted(exchanged) for pair in pairs.values()])
+        for t, pair in enumerate(pairs.values()):
+            for v in (0, 1):
+                for label in (0, 1):
+                    for i, *sides in found.get((t, v, label), []):
+                        pair.given[1 - v].setdefault(i, (label, *sides))
+    return out | {target: pair.classifier(aside) for target, pair in pairs.items()}
+
+
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", labelled: int = LABELLED, rounds: int = ROUNDS) -> DataFrame:
     """(id, score, quality_score, toxic_score, content_logit, meta_logit, kept) for every row of ``docs``.
 
     quality_score and toxic_score are calibrated probabilities, score = quality_score x (1 - toxic_score); kept: quality of
@@ -260,22 +320,19 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     empty one. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    held = spark.sparkContext.broadcast(train(spark, source, labels, labelled, pool))
+    source = source.withColumn("draw", F.xxhash64(F.col("id").cast("string"), F.lit("draw")))
+    kept_features = Scratch(spark, "cotrain").keep(features(source, ["id", "draw"]), "features")
+    held = spark.sparkContext.broadcast(train(spark, kept_features, labels, labelled, rounds))
     names = ["score", "quality_score", "toxic_score", "content_logit", "meta_logit"]
 
     def run(batches):
         by = held.value
         for batch in batches:
-            lang, where = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            got = []
-            for c in tokens.chunks(batch.column(1)):
-                rows = slice(c.first, c.first + c.n)
-                sides = [content_rows(c), meta_rows(c, lang[rows], where[rows])]
-                good, bad = (by[t].probability(sides) for t in TARGETS)
-                got.append(np.column_stack((good * (1 - bad), good, bad, by["quality"].logits(sides))))
-            x = np.concatenate(got) if got else np.zeros((0, 5))
+            sides = [_rows(batch.column(c).to_pylist()) for c in (1, 2)]
+            good, bad = (by[t].probability(sides) for t in TARGETS)
+            x = np.column_stack((good * (1 - bad), good, bad, by["quality"].logits(sides)))
             kept = pa.array((x[:, 1] >= LEAST_QUALITY) & (x[:, 2] < MOST_TOXIC))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(5)), kept], names=["id", *names, "kept"])
 
     shape = T.StructType([source.schema["id"], *(T.StructField(k, T.DoubleType()) for k in names), T.StructField("kept", T.BooleanType())])
-    return source.mapInArrow(run, shape)
+    return kept_features.select("id", "content", "meta").mapInArrow(run, shape)

@@ -487,6 +487,26 @@ def test_cotraining(spark):
     assert none.count() == 902
 
 
+def test_surest_are_those_of_all_documents(spark):
+    """Chosen over the whole pool, whatever its partitions: brute force over all logits."""
+    rng = np.random.default_rng(2)
+    ids = [rng.choice(400, rng.integers(1, 30), replace=False).astype(np.uint16) for _ in range(3000)]
+    rows = [(k, int(rng.integers(-(1 << 62), 1 << 62)), x.tobytes(), x[:3].tobytes()) for k, x in enumerate(ids)]
+    pool = spark.createDataFrame(rows, "id long, draw long, content binary, meta binary").repartition(7)
+    views = [[(rng.normal(size=1 << cotrain.CONTENT_BITS), 0.1), (rng.normal(size=1 << cotrain.META_BITS), -0.1)]]
+    got = cotrain.surest(pool, views, [{1: 50, 0: 80}])
+    assert set(got) == {(0, v, label) for v in (0, 1) for label in (0, 1)}
+    for (_, v, label), chosen in got.items():
+        w, bias = views[0][v]
+        logit = np.array([w[x if v == 0 else x[:3]].sum() + bias for x in ids]) * (1 if label else -1)
+        wanted = {1: 50, 0: 80}[label]
+        assert abs(len(chosen) - wanted) <= 12
+        cut = np.sort(logit)[-wanted]
+        found = {i for i, *_ in chosen}
+        assert {k for k in range(3000) if logit[k] > max(2, cut) + 0.02} <= found and min(logit[k] for k in found) > max(2 - 1e-9, cut - 0.03)
+        assert all(np.array_equal(np.frombuffer(c, dtype=np.uint16), ids[i]) for i, c, _ in chosen)
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
