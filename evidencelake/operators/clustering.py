@@ -18,6 +18,15 @@ def pair_scores(items: DataFrame, id_col: str, tokens: str, by: list[str] | None
     return shared.select(*by, "a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("score")).where(F.col("score") >= least)
 
 
+def contained(texts: DataFrame, claims: DataFrame, least: float) -> DataFrame:
+    """(text_id, claim_id, score): texts (text_id, tokens) that have at least ``least`` of a claim's (claim_id, tokens) distinct
+    tokens, ``least`` above 0. They meet on tokens; a text's rows lie together, so counts shrink before the shuffle."""
+    c = claims.select("claim_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    t = texts.select("text_id", F.explode("tokens").alias("t"))
+    shared = t.join(c, "t").groupBy("text_id", "claim_id", "n").agg(F.count("*").alias("s"))
+    return shared.select("text_id", "claim_id", (F.col("s") / F.col("n")).alias("score")).where(F.col("score") >= least)
+
+
 def vector_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(a, b, score): pairs of documents by the inner product of sparse vectors (id, term, weight) of length one."""
     a, b = vectors.select("term", F.col("id").alias("a"), F.col("weight").alias("x")), vectors.select("term", F.col("id").alias("b"), F.col("weight").alias("y"))
@@ -27,9 +36,10 @@ def vector_pairs(vectors: DataFrame, least: float) -> DataFrame:
 def _assign(ids: list, near: dict, most: int | None) -> dict:
     leader: dict = {}
     size: dict = {}
+    place = {i: k for k, i in enumerate(ids)}
     for i in ids:
         fits = [(s, j) for j, s in near.get(i, {}).items() if leader.get(j) == j and (most is None or size[j] < most)]
-        best = max(fits, key=lambda x: (x[0], -ids.index(x[1])))[1] if fits else i
+        best = max(fits, key=lambda x: (x[0], -place[x[1]]))[1] if fits else i
         leader[i] = best
         size[best] = size.get(best, 0) + 1
     return leader

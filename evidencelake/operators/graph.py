@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-#: Edges up to which a graph may be gathered for betweenness and communities.
+#: Edges and nodes up to which a graph may be gathered for betweenness and communities.
 SMALL_EDGES = 200_000
 
 
@@ -163,9 +163,9 @@ def snowball(spark: SparkSession, seeds: DataFrame, edges: DataFrame, depth: int
 def small_graph_metrics(nodes: DataFrame, edges: DataFrame, sources: int = 50) -> pd.DataFrame | None:
     """Betweenness from at most ``sources`` nodes, and communities by greedy modularity, of a graph that fits the driver.
 
-    None under 3 nodes or 5 edges. Raises above SMALL_EDGES. Edges are (src, dst, weight); direction is dropped.
+    None under 3 nodes or 5 edges. Raises above SMALL_EDGES edges or nodes. Edges are (src, dst, weight); direction is dropped.
     """
-    if edges.limit(SMALL_EDGES + 1).count() > SMALL_EDGES:
+    if max(edges.limit(SMALL_EDGES + 1).count(), nodes.limit(SMALL_EDGES + 1).count()) > SMALL_EDGES:
         raise ValueError("the graph is too large to gather")
     names = sorted(r.id for r in nodes.select("id").distinct().collect())
     links = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w")).where("a <> b").orderBy("a", "b").collect()

@@ -227,12 +227,26 @@ def by_identifier(verified: DataFrame, extracted: DataFrame, fields: list[str])
     return out.withColumns({f: got[f] for f in fields}).drop("__v0", "__v1", "__v2")
 
 
+def _rare(sets: DataFrame, name: str, seen: DataFrame, least: float) -> DataFrame:
+    """Sets with each of the tokens (t) among which one must lie in any set of a Jaccard index of ``least`` with them: the
+    rarest by ``seen`` (t, df)."""
+    keep = [F.col(c) for c in sets.columns]
+    ranked = sets.select(*keep, F.explode(name).alias("t")).join(seen, "t").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("__order"))
+    open_ = F.size(name) - F.ceil(F.size(name) * F.lit(least) - 1e-9).cast("int") + 1
+    return ranked.select(*keep, F.explode(F.slice("__order", F.lit(1), open_)).alias("__o")).select(*keep, F.col("__o.t").alias("t"))
+
+
 def local_match(papers: DataFrame, files: DataFrame, least: float = 0.5) -> DataFrame:
     """(paper_id, file_id, score) of local full texts: equal DOIs, else the most alike title of at least ``least``, the first of
-    equals. Titles meet on tokens."""
+    equals. Each distinct title is looked up once; titles meet on their rarest tokens, as many as the threshold leaves open."""
     exact = papers.select("paper_id", F.lower("doi").alias("doi")).join(files.select("file_id", F.lower("doi").alias("doi")), "doi").groupBy("paper_id").agg(F.min("file_id").alias("file_id")).withColumn("score", F.lit(1.0))
     left = papers.join(exact, "paper_id", "left_anti").select("paper_id", X.token_set(X.norm_title(F.col("title"))).alias("a"))
-    right = files.select("file_id", X.token_set(X.norm_title(F.col("title"))).alias("b"))
-    near = left.select("paper_id", "a", F.explode("a").alias("t")).join(right.select("file_id", "b", F.explode("b").alias("t")), "t").groupBy("paper_id", "file_id").agg(F.any_value(X.jaccard(F.col("a"), F.col("b"))).alias("score"))
-    best = near.where(F.col("score") >= least).groupBy("paper_id").agg(F.max(F.struct("score", (-F.col("file_id")).alias("o"))).alias("m")).select("paper_id", (-F.col("m.o")).alias("file_id"), F.col("m.score").alias("score"))
+    asked = left.select("a").distinct()
+    held = files.select("file_id", X.token_set(X.norm_title(F.col("title"))).alias("b")).groupBy("b").agg(F.min("file_id").alias("file_id"))
+    seen = asked.select(F.explode("a").alias("t")).unionAll(held.select(F.explode("b").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
+    rare_a, rare_b = _rare(asked, "a", seen, least), _rare(held, "b", seen, least)
+    size = (F.size("a") * least <= F.size("b") + 1e-9) & (F.size("b") * least <= F.size("a") + 1e-9)
+    near = rare_a.join(rare_b, "t").where(size).withColumn("score", X.jaccard(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    top = near.groupBy("a").agg(F.max(F.struct("score", (-F.col("file_id")).alias("o"))).alias("m"))
+    best = left.join(top, "a").select("paper_id", (-F.col("m.o")).alias("file_id"), F.col("m.score").alias("score"))
     return exact.select("paper_id", "file_id", "score").unionByName(best)

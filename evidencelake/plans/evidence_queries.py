@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clustering, evidence, ranking
+from ..operators import clustering, evidence
 from .papers import MEASURED_SQL, PAPERS_SQL, measured, papers
 from .registry import query, table
 
@@ -29,12 +29,12 @@ def numeric_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.numeric_claims(rows).select("paper_key", "quantity", "unit", F.col("value").alias("cell"), "source")
 
 
-@query("adjacent_gaps", """WITH v AS (SELECT l_suppkey AS claim, CASE l_linenumber % 3 WHEN 0 THEN 'temperature' WHEN 1 THEN 'pressure' ELSE 'other' END AS metric, l_extendedprice / 100 AS value, l_orderkey AS ref FROM lineitem WHERE l_orderkey % 4 = 0),
+@query("adjacent_gaps", """WITH v AS (SELECT l_suppkey AS claim, CASE l_linenumber % 3 WHEN 0 THEN 'temperature' WHEN 1 THEN 'pressure' ELSE 'other' END AS metric, l_extendedprice / 100 AS value, l_orderkey AS ref FROM lineitem),
 n AS (SELECT *, lead(value) OVER w AS v2, lead(ref) OVER w AS ref2 FROM v WINDOW w AS (PARTITION BY claim, metric ORDER BY value, ref)), g AS (SELECT *, v2 - value AS delta, (v2 - value) / abs((v2 + value) / 2) AS rel, CASE metric WHEN 'temperature' THEN 0.15 WHEN 'pressure' THEN 0.20 ELSE 0.25 END AS lim, CASE metric WHEN 'temperature' THEN 50 WHEN 'pressure' THEN 1 ELSE 0 END AS least FROM n WHERE v2 IS NOT NULL)
 SELECT claim, metric, ref, ref2, round(delta, 4) AS delta, round(rel, 6) AS relative, CASE WHEN rel > 2 * lim THEN 'severe' ELSE 'moderate' END AS severity FROM g WHERE delta >= least AND rel > lim""")
 def adjacent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     metric = F.when(F.col("l_linenumber") % 3 == 0, "temperature").when(F.col("l_linenumber") % 3 == 1, "pressure").otherwise("other")
-    v = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_suppkey").alias("claim"), metric.alias("metric"), (F.col("l_extendedprice") / 100).alias("value"), F.col("l_orderkey").alias("ref"))
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("claim"), metric.alias("metric"), (F.col("l_extendedprice") / 100).alias("value"), F.col("l_orderkey").alias("ref"))
     return evidence.adjacent_gaps(v, ["claim"]).select("claim", "metric", "ref", "ref2", F.round("delta", 4).alias("delta"), F.round("relative", 6).alias("relative"), "severity")
 
 
@@ -66,9 +66,9 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.timeline(papers(spark, sf_dir))
 
 
-@query("reference_numbers", f"WITH {PAPERS_SQL} SELECT paper_id AS id, row_number() OVER (ORDER BY coalesce(year, 9999), lower(coalesce(title, '')), paper_id) AS number FROM papers WHERE paper_id % 2 = 0")
+@query("reference_numbers", f"WITH {PAPERS_SQL} SELECT paper_id AS id, row_number() OVER (ORDER BY coalesce(year, 9999), lower(coalesce(title, '')), paper_id) AS number FROM papers")
 def reference_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.reference_numbers(papers(spark, sf_dir).where("paper_id % 2 = 0"))
+    return evidence.reference_numbers(papers(spark, sf_dir))
 
 
 @query("paragraph_breaks")
@@ -116,18 +116,22 @@ def finding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.pair_scores(b, "item_id", "t", least=0.05).withColumn("score", F.round("score", 6))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as findings of a conversation: (conv_id, turn, id, t), their distinct words in t."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.concat_ws("/", "conv_id", F.lpad(F.col("turn").cast("string"), 10, "0")).alias("id"), F.array_distinct(X.words(F.col("text"), "[a-z]+")).alias("t"))
+
+
 @query("leader_clusters")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    vectors = ranking.tfidf(d, "doc_id", F.substring("text", 1, 200))
-    pairs = clustering.vector_pairs(vectors, 0.25).withColumn("g", F.lit(1))
-    return clustering.leaders(d.withColumn("g", F.lit(1)), pairs, "doc_id", "g")
+    said = turns(spark, sf_dir)
+    return clustering.leaders(said, clustering.pair_scores(said, "id", "t", ["conv_id"], 0.1), "id", "conv_id")
 
 
 @query("agreement_groups")
 def agreement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.words(F.col("text"), "[a-z]+")).alias("t"), (F.col("item_id") % 7).cast("double").alias("value"), F.lit(1).alias("g"))
-    return clustering.agreement_groups(b, clustering.pair_scores(b, "item_id", "t", ["g"], 0.1), "item_id", "g")
+    said = turns(spark, sf_dir).withColumn("value", (F.col("turn") % 7).cast("double"))
+    return clustering.agreement_groups(said, clustering.pair_scores(said, "id", "t", ["conv_id"], 0.1), "id", "conv_id")
 
 
 @query("distinctive_terms", """WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS tf FROM t GROUP BY ALL), h AS (SELECT term, count(*) AS df FROM c GROUP BY 1), s AS (SELECT lang, sum(tf) AS a FROM c GROUP BY 1), n AS (SELECT count(DISTINCT lang) AS n FROM documents),

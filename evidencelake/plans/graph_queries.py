@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
 from .papers import CITES_SQL, citing, inner_edges
 from .registry import query, table
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem WHERE l_orderkey % 8 = 0 AND l_suppkey <> l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1)"
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem WHERE l_suppkey <> l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1)"
 
 
 @query("coupling_pairs", f"WITH {CITES_SQL} SELECT x.paper_id AS a, y.paper_id AS b, count(*) AS shared FROM cites x JOIN cites y ON x.ref = y.ref AND x.paper_id < y.paper_id GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -37,9 +37,11 @@ def network_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.centrality(spark, inner_citing(spark, sf_dir), "id", "refs")
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS a, o_orderkey % 400 AS b FROM orders WHERE o_orderkey % 40 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT a, a FROM s UNION SELECT r.n, s.b FROM r JOIN s ON s.a = r.m) SELECT n AS node, min(m) AS component FROM r GROUP BY 1""")
+@query("connected_components", "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select((F.col("o_custkey") % 400).alias("src"), (F.col("o_orderkey") % 400).alias("dst"))
+    """Orders linked to the customer's next by price: chains whose least key may stand anywhere."""
+    by_price = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(by_price).alias("dst"))
     return graph.components(spark, e)
 
 
@@ -71,8 +73,12 @@ def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_communities")
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = inner_edges(spark, sf_dir).where("dst % 10 = src % 10").withColumn("weight", F.lit(1.0))
-    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    """Nations that trade, weighted by lines: a graph whose size the nations bound, whatever the orders."""
+    read = lambda name, *columns: table(spark, sf_dir, name).select(*columns)
+    lines = read("lineitem", "l_orderkey", "l_suppkey").join(read("orders", "o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).groupBy("l_suppkey", "o_custkey").agg(F.count("*").alias("n"))
+    ends = lines.join(read("supplier", "s_suppkey", "s_nationkey"), F.expr("l_suppkey = s_suppkey")).join(read("customer", "c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey"))
+    e = ends.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.sum("n").cast("double").alias("weight"))
+    n = read("nation", F.col("n_nationkey").cast("long").alias("id"))
     out = graph.small_graph_metrics(n, e)
     return spark.createDataFrame(out if out is not None else [], "id long, betweenness double, community long")
 

@@ -110,9 +110,9 @@ def estimate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(integrity.estimates(t))
 
 
-@query("quote_positions", """WITH q AS (SELECT doc_id, substr(text, 1, 12) AS quote, text FROM documents WHERE length(text) >= 40), p AS (SELECT doc_id, quote, len(list_filter(range(1, length(text) - 10), lambda i: substr(text, i, 12) = quote)) AS n FROM q WHERE doc_id % 10 = 0) SELECT doc_id AS quote_id, CASE WHEN n = 1 THEN 0 END AS start, CASE WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM p""")
+@query("quote_positions", """WITH q AS (SELECT doc_id, substr(text, 1, 12) AS quote, text FROM documents WHERE length(text) >= 40), p AS (SELECT doc_id, strpos(substr(text, 2), quote) = 0 AS once FROM q) SELECT doc_id AS quote_id, CASE WHEN once THEN 0 END AS start, CASE WHEN once THEN 'found' ELSE 'ambiguous' END AS status FROM p""")
 def quote_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("length(text) >= 40 AND doc_id % 10 = 0")
+    d = table(spark, sf_dir, "documents").where("length(text) >= 40")
     pages = d.select(F.col("doc_id").alias("source_id"), F.lit(1).alias("page_number"), "text")
     quotes = d.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("source_id"), F.substring("text", 1, 12).alias("quote"), F.lit(None).cast("int").alias("page_number"))
     return integrity.locate(pages, quotes).select("quote_id", "start", "status")

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..sources.layout import spread
 from .registry import table
 
-#: documents as papers: the title is the text up to the first full stop, at most 80 characters.
-PAPERS_SQL = """papers AS (SELECT doc_id AS paper_id, substr(split_part(text, '.', 1), 1, 80) AS title, text AS abstract, CASE WHEN doc_id % 11 <> 0 THEN (1990 + doc_id % 35)::INT END AS year,
+#: documents as papers: the title is the text up to the first full stop.
+PAPERS_SQL = """papers AS (SELECT doc_id AS paper_id, split_part(text, '.', 1) AS title, text AS abstract, CASE WHEN doc_id % 11 <> 0 THEN (1990 + doc_id % 35)::INT END AS year,
   source AS venue, (n_chars % 500)::INT AS citation_count, lang AS language, CASE WHEN doc_id % 7 = 0 THEN 'proceedings-article' WHEN doc_id % 13 = 0 THEN 'posted-content' ELSE 'journal-article' END AS type FROM documents)"""
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars", "lang"))
     return d.select(
-        F.col("doc_id").alias("paper_id"), F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 80).alias("title"), F.col("text").alias("abstract"), F.when(F.col("doc_id") % 11 != 0, (1990 + F.col("doc_id") % 35).cast("int")).alias("year"),
+        F.col("doc_id").alias("paper_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("text").alias("abstract"), F.when(F.col("doc_id") % 11 != 0, (1990 + F.col("doc_id") % 35).cast("int")).alias("year"),
         F.col("source").alias("venue"), (F.col("n_chars") % 500).cast("int").alias("citation_count"), F.col("lang").alias("language"), F.when(F.col("doc_id") % 7 == 0, "proceedings-article").when(F.col("doc_id") % 13 == 0, "posted-content").otherwise("journal-article").alias("type"),
     )
 
@@ -44,17 +44,17 @@ def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: suppliers cite parts.
-CITES_SQL = "cites AS (SELECT DISTINCT l_suppkey AS paper_id, l_partkey AS ref FROM lineitem WHERE l_orderkey % 8 = 0)"
+CITES_SQL = "cites AS (SELECT DISTINCT l_suppkey AS paper_id, l_partkey AS ref FROM lineitem)"
 
 
 def citing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(paper_id, referenced_works): suppliers with the parts of every eighth order."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 8 = 0").select(F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("ref")).distinct()
+    """(paper_id, referenced_works): suppliers with the parts that they deliver."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("paper_id"), F.col("l_partkey").alias("ref")).distinct()
     return rows.groupBy("paper_id").agg(F.array_sort(F.collect_list("ref")).alias("referenced_works"))
 
 
 def inner_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): suppliers that cite suppliers, by the rest of the part number."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 8 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("n"))
     return lines.crossJoin(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n") + 1).alias("dst")).where("src <> dst").distinct()

@@ -56,11 +56,11 @@ def new_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.new_against(papers(spark, sf_dir).select("paper_id", "title"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id")))
 
 
-@query("novel_reflections", f"""WITH {PAPERS_SQL}, c AS (SELECT * FROM papers WHERE paper_id % 2 = 0), f AS (SELECT * FROM papers WHERE paper_id % 3 = 0)
+@query("novel_reflections", f"""WITH {PAPERS_SQL}, c AS (SELECT * FROM papers WHERE paper_id % 2 = 0), f AS (SELECT * FROM papers)
 SELECT paper_id FROM f WHERE paper_id % 5 <> 0 AND paper_id NOT IN (SELECT paper_id FROM c WHERE paper_id % 5 <> 0) AND lower(substr(title, 1, 80)) NOT IN (SELECT lower(substr(title, 1, 80)) FROM c)""")
 def novel_reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir).select("paper_id", "title", F.when(F.col("paper_id") % 5 != 0, F.col("paper_id").cast("string")).alias("doi"))
-    return records.novel_reflections(p.where("paper_id % 3 = 0"), p.where("paper_id % 2 = 0")).select("paper_id")
+    return records.novel_reflections(p, p.where("paper_id % 2 = 0")).select("paper_id")
 
 
 @query("abstract_backfill", """SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN length(text) WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 80 THEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) END AS n, CASE WHEN doc_id % 4 = 0 AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 80 THEN 2 ELSE 1 END AS n_sources FROM documents""")
@@ -84,8 +84,8 @@ def verified_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("local_matches")
 def local_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir).select("paper_id", "title", F.when(F.col("paper_id") % 10 == 0, F.col("paper_id").cast("string")).alias("doi"))
-    files = p.where("paper_id % 4 = 0").select(F.col("paper_id").alias("file_id"), "doi", F.concat("title", F.lit(" pdf")).alias("title"))
-    return records.local_match(p.where("paper_id % 5 = 0"), files)
+    files = p.select(F.col("paper_id").alias("file_id"), "doi", F.concat("title", F.lit(" pdf")).alias("title"))
+    return records.local_match(p, files)
 
 
 @query("merged_authors", """SELECT o_custkey AS k, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1""")

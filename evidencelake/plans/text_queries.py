@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extraction
+from ..operators import clustering, extraction
 from .papers import PAPERS_SQL, papers
 from .registry import query, table
 
@@ -24,12 +24,12 @@ def content_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("claim_containment", f"""WITH t AS (SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})), lambda x: substr(x, 1, 6))) AS s FROM documents),
-q AS (SELECT item_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})), lambda x: substr(x, 1, 6))) AS c FROM benchmark WHERE item_id < 5)
+q AS (SELECT item_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})), lambda x: substr(x, 1, 6))) AS c FROM benchmark)
 SELECT doc_id, item_id, round(len(list_intersect(c, s))::DOUBLE / len(c), 6) AS score FROM t, q WHERE len(list_intersect(c, s))::DOUBLE / len(c) >= 0.1""")
 def claim_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.broadcast(table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", X.stems(F.col("text")).alias("c")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.stems(F.col("text")).alias("s"))
-    return docs.crossJoin(asked).select("doc_id", "item_id", F.round(X.containment(F.col("c"), F.col("s")), 6).alias("score")).where("score >= 0.1")
+    read = lambda name, key, to: table(spark, sf_dir, name).select(F.col(key).alias(to), X.stems(F.col("text")).alias("tokens"))
+    got = clustering.contained(read("documents", "doc_id", "text_id"), read("benchmark", "item_id", "claim_id"), 0.1)
+    return got.select(F.col("text_id").alias("doc_id"), F.col("claim_id").alias("item_id"), F.round("score", 6).alias("score"))
 
 
 @query("page_text", r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
@@ -72,8 +72,11 @@ def keyword_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("best_sentences")
 def best_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.broadcast(table(spark, sf_dir, "benchmark").where("item_id < 2").select("item_id", F.col("text").alias("claim")))
-    return table(spark, sf_dir, "documents").crossJoin(asked).select("doc_id", "item_id", X.best_sentence(F.col("text"), F.col("claim")).alias("sentence"))
+    """Each document is the source that one claim cites, claims in turn."""
+    claims = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim"))
+    n = F.broadcast(claims.agg(F.count("*").alias("n")))
+    cited = table(spark, sf_dir, "documents").crossJoin(n).select("doc_id", "text", F.try_mod(F.col("doc_id"), F.col("n")).alias("item_id"))
+    return cited.join(claims, "item_id").select("doc_id", "item_id", X.best_sentence(F.col("text"), F.col("claim")).alias("sentence"))
 
 
 @query("measurements")
@@ -126,18 +129,18 @@ def harvested_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(X.harvest_dois(text)).alias("doi"))
 
 
-@query("inverted_abstracts", "SELECT doc_id, array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), 1, 20), ' ') AS abstract FROM documents")
+@query("inverted_abstracts", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS abstract FROM documents")
 def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.filter(F.split("text", "\\s+"), lambda w: w != ""), 1, 20)
+    words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
     places = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
     index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
     return index.select("doc_id", X.inverted_abstract(F.col("index")).alias("abstract"))
 
 
-@query("island_ranges", """WITH n AS (SELECT DISTINCT l_suppkey, l_partkey % 40 AS x FROM lineitem WHERE l_orderkey % 20 = 0), g AS (SELECT l_suppkey, x, x - row_number() OVER (PARTITION BY l_suppkey ORDER BY x) AS i FROM n),
+@query("island_ranges", """WITH n AS (SELECT DISTINCT l_suppkey, l_partkey AS x FROM lineitem), g AS (SELECT l_suppkey, x, x - row_number() OVER (PARTITION BY l_suppkey ORDER BY x) AS i FROM n),
 r AS (SELECT l_suppkey, i, min(x) AS a, max(x) AS b FROM g GROUP BY ALL) SELECT l_suppkey, string_agg(CASE WHEN a = b THEN a::VARCHAR WHEN b = a + 1 THEN a || ', ' || b ELSE a || '–' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY 1""")
 def island_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 40).alias("x"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("x"))
     return rows.select("l_suppkey", X.island_ranges(F.col("x")).alias("ranges"))
 
 
