@@ -84,8 +84,9 @@ def check_markers(markers: tuple[str, str, str]) -> None:
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", fim_percent: int = 100, spm_percent: int = 50, seed: int = SEED, markers: tuple[str, str, str] = MARKERS, block: int = BLOCK_BYTES) -> DataFrame:
     """(id, n, form, prefix_chars, middle_chars, output) for every row.
 
-    n is the number of units (``line``: up to and with a newline; ``word``: with the white space after it; ``character``: a code
-    point); the rest of the text after the last boundary is a unit. Two draws by seed and id say after how many units prefix and
+    n is the number of units (``line``: up to and with a newline; ``word``: with the white space after it, and any that the
+    text begins with as one more; ``character``: a code point); what follows the last
+    boundary is a unit too. Two draws by seed and id say after how many units prefix and
     middle end. Form is ``psm`` (markers[0] prefix markers[1] suffix markers[2] middle), ``spm`` (markers[1] suffix markers[0]
     prefix markers[2] middle), or ``plain``: the text as it is, for empty and null texts (taken as empty), texts that hold a
     marker, and the share of ids beyond ``fim_percent``; its chars are null. Rows that repeat an id have the same draws, a null
