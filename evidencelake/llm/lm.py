@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -439,13 +439,17 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         p, v = held.value
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 36  # a row and its seldom words are written by one task, so it can number them
         log_sum = np.log10(v.surface_sum)
         end_known, end_log = int(v.end_count > 0), np.log10(v.end_count + 1)
         counts, not_top = np.append(v.counts, 0), np.append(v.top < 0, True)  # the last is for words that are not common
         count_logs = np.log10(counts + 1.0)
-        for batch in _grouped(batches, 3):
-            ids, begin, keys, place = token_stream(v, batch.column(3))
+        for batch in _grouped(batches, 2):
+            ids, begin, keys, place = token_stream(v, batch.column(2))
             n = np.diff(begin)
+            number = pa.array(row + np.arange(len(n)))
+            row += len(n)
             of = np.repeat(np.arange(len(n)), n - 1)
             net = score_stream(p, v, ids, begin) / np.log(10)
             c, logs, other = counts[place], count_logs[place], not_top[place]
@@ -454,7 +458,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             net += np.bincount(of[other], weights=logs[other] - log_sum[surface[other]], minlength=len(n))
             known = np.bincount(of[c > 0], minlength=len(n)) + end_known
             empty = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(net), empty, empty], names=["id", "rid", "learns", *names])
+            yield pa.RecordBatch.from_arrays([number, *batch.columns[:2], pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(net), empty, empty], names=["rid", "id", "learns", *names])
             rare = c == 0
             if rare.any():
                 pair = np.stack((of[rare].astype(np.int64), keys[rare].view(np.int64)))
@@ -465,17 +469,16 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 times = np.diff(np.append(where, pair.shape[1]))
                 take, gap = pa.array(pair[0][where]), len(where)
                 void = [pa.nulls(gap, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(x.take(take) for x in batch.columns[:3]), *void, pa.array(pair[1][where]), pa.array(times)], names=["id", "rid", "learns", *names])
+                yield pa.RecordBatch.from_arrays([*(x.take(take) for x in (number, *batch.columns[:2])), *void, pa.array(pair[1][where]), pa.array(times)], names=["rid", "id", "learns", *names])
 
-    keyed = source.select("id", F.xxhash64(F.col("id").cast("string"), "text").alias("rid"), "learns", "text")
-    rows = scratch.keep(keyed.mapInArrow(run, T.StructType([*keyed.schema.fields[:3], *inner.fields])), "rows")
+    keyed = source.select("id", "learns", "text")
+    rows = scratch.keep(keyed.mapInArrow(run, T.StructType([T.StructField("rid", T.LongType()), *keyed.schema.fields[:2], *inner.fields])), "rows")
     least = max(1, -(-v.total // COMMON))
     rare = rows.where("key IS NOT NULL").select("rid", "key", "n").join(counts.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key")
     more = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))
-    whole = rows.where("key IS NULL").groupBy("id", "rid", "learns", "n_tokens", "known", "base", "net").agg(F.count("*").alias("times"))
-    joined = whole.join(more, "rid", "left").withColumns({"more": F.coalesce(F.col("more") / F.col("times"), F.lit(0.0)), "more_known": F.coalesce((F.col("more_known") / F.col("times")).cast("long"), F.lit(0))})
-    out = joined.select(
+    whole = rows.where("key IS NULL").select("rid", "id", "learns", "n_tokens", "known", "base", "net")
+    joined = whole.join(more, "rid", "left").withColumns({"more": F.coalesce("more", F.lit(0.0)), "more_known": F.coalesce("more_known", F.lit(0))})
+    return joined.select(
         "id", (~F.col("learns")).alias("held_out"), "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more") - F.col("n_tokens") * F.lit(float(np.log10(v.total + v.types + 1)))).alias("base_score"), (F.col("net") + F.col("more")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"),
+        (F.col("base") + F.col("more") - F.col("n_tokens") * F.lit(float(np.log10(v.total + v.types + 1)))).alias("base_score"), (F.col("net") + F.col("more")).alias("score"),
     )
-    return out.drop("copy")
