@@ -193,21 +193,21 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
     return opened.repartition("key").sortWithinPartitions("key", "rid", "doc").mapInArrow(run, "rid long, doc long, span long")
 
 
-_WINDOW = ["settled", "h1", "h2", "doc", "at"]
-_WINDOW_DDL = "settled boolean, h1 long, h2 int, doc long, at long"
+_WINDOW = ["settled", "h1", "h2", "doc", "rid", "at"]
+_WINDOW_DDL = "settled boolean, h1 long, h2 int, doc long, rid long, at int"
 
 
 def window_rows(texts: DataFrame, window: int) -> DataFrame:
-    """The windows that texts with their shared anchors ask to verify, by hash; ``at`` is the low half of rid and the first
-    word. A window that the same task has found in a smaller document is settled."""
+    """The windows that texts with their shared anchors ask to verify, by hash; ``at`` is its first word. A
+    window that the same task has found in a smaller document is settled."""
 
     def settle(rows: list[list[np.ndarray]]):
-        h1, h2, doc, at = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.lexsort((at, doc, h2, h1))
-        h1, h2, doc, at = (c[order] for c in (h1, h2, doc, at))
+        h1, h2, doc, rid, at = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((at, rid, doc, h2, h1))
+        h1, h2, doc, rid, at = (c[order] for c in (h1, h2, doc, rid, at))
         change = _changes(h1, h2)
         settled = doc > doc[np.flatnonzero(change)][np.cumsum(change) - 1]
-        yield _batch(_WINDOW, settled, h1, h2, doc, at)
+        yield _batch(_WINDOW, settled, h1, h2, doc, rid, at)
 
     def run(batches):
         held, size = [], 0
@@ -226,7 +226,7 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
                     own = words.doc()[starts]
                     a, b = (tokens.span_hashes(words.hashes(seed), starts, starts + window, seed) for seed in (0, 1))
                     rows = slice(c.first, c.first + c.n)
-                    held.append([a, (b >> _U(32)).astype(np.uint32).view(np.int32), ids[rows][own], rids[rows][own] << 32 | (starts - words.of[own])])
+                    held.append([a, (b >> _U(32)).astype(np.uint32).view(np.int32), ids[rows][own], rids[rows][own], (starts - words.of[own]).astype(np.int32)])
                 size += len(c.data)
                 if held and size > LOOK_OVER:
                     yield from settle(held)
@@ -238,25 +238,25 @@ def window_rows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def covered_windows(rows: DataFrame) -> DataFrame:
-    """Of window rows sorted by hash and document, those of a larger document than the first: (doc, at)."""
+    """Of window rows sorted by hash and document, those of a larger document than the first: (doc, rid, at)."""
 
     def run(batches):
         left = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if left is not None:
                 columns = [np.concatenate(x) for x in zip(left, columns, strict=True)]
-            h1, h2, doc, at = columns
+            h1, h2, doc, rid, at = columns
             if not len(h1):
                 continue
             change = _changes(h1, h2)
             first = np.flatnonzero(change)
             out = doc > doc[first][np.cumsum(change) - 1]
             left = [c[first[-1] : first[-1] + 1] for c in columns]
-            yield _batch(["doc", "at"], doc[out], at[out])
+            yield _batch(["doc", "rid", "at"], doc[out], rid[out], at[out])
 
     opened = rows.where("NOT settled").drop("settled")
-    return opened.repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(run, "doc long, at long")
+    return opened.repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(run, "doc long, rid long, at int")
 
 
 def asked_windows(source: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -324,14 +324,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("rid"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     windows, copies = asked_windows(source, window, scratch)
     scratch.release()
-    covered = windows.where("settled").select("doc", "at").union(covered_windows(windows))
-    low = F.col("rid").bitwiseAND(F.lit(0xFFFFFFFF))
-    covered = covered.groupBy("doc", F.shiftrightunsigned("at", 32).alias("low")).agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
-    covered = scratch.keep(covered, "covered")
+    covered = windows.where("settled").select("doc", "rid", "at").union(covered_windows(windows))
+    covered = scratch.keep(covered.groupBy("doc", "rid").agg(F.collect_set("at").alias("starts")), "covered")
     scratch.drop(windows)
     scratch.release()
-    marks = covered.select("doc", "low", "starts", F.lit(False).alias("all")).union(copies.select("doc", low.alias("low"), F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("all")))
-    marks = marks.groupBy("doc", "low").agg(F.first("starts", ignorenulls=True).alias("starts"), F.max("all").alias("all"))
-    joined = source.withColumn("low", low).join(marks.hint("shuffle_hash"), ["doc", "low"], "left").select("id", "text", "starts", F.coalesce("all", F.lit(False)).alias("all"))
+    marks = covered.select("doc", "rid", "starts", F.lit(False).alias("all")).union(copies.select("doc", "rid", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("all")))
+    marks = marks.groupBy("doc", "rid").agg(F.first("starts", ignorenulls=True).alias("starts"), F.max("all").alias("all"))
+    joined = source.join(marks.hint("shuffle_hash"), ["doc", "rid"], "left").select("id", "text", "starts", F.coalesce("all", F.lit(False)).alias("all"))
     shape = T.StructType([joined.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(lambda batches: cut_words(batches, window), shape)
