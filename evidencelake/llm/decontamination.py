@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .names import free_name
+from .simhash import row_key
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -235,6 +237,9 @@ def benchmark_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, id_co
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` without those whose id has a hit. A row without an id is judged with all other such rows."""
-    found = benchmark_hits(spark, docs, items, id_col, text_col, **params).where(F.size("spans") > 0).select(F.col("id").alias("__id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left_anti")
+    """The rows of ``docs`` without those whose text has a hit. Each row is judged by itself, rows without an id and rows that
+    share one too."""
+    name = free_name(docs, "__row")
+    keyed = docs.withColumn(name, row_key(id_col, text_col))
+    found = benchmark_hits(spark, keyed, items, name, text_col, **params).where(F.size("spans") > 0).select(F.col("id").alias(name)).distinct()
+    return keyed.join(found, name, "left_anti").select(*docs.columns)
