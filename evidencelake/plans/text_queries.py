@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clustering, extraction
+from ..operators import clustering, extraction, readings
 from .papers import PAPERS_SQL, papers
 from .registry import query, table
 
@@ -85,6 +85,42 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.select("event_id", F.explode(extraction.measurements("note")).alias("m")).select("event_id", "m.value", "m.unit", "m.measurement", "m.n")
 
 
+#: Sentences with two numbers a and b: what is written, and the measurements that stand alone as (value, unit, label).
+SENTENCES = (
+    ("annealed at {a} K under {b} kbar", [("a", "K", "temperature"), ("b", "kbar", "pressure")]), ("a range of {b}–{c} GPa, with a peak at {a} MPa", [("a", "MPa", "pressure")]), ("temperatures up to {a} °C recorded. Held at {b} kbar", [("b", "kbar", "pressure")]),
+    ("age of {a} ± {b} Ma", [("a", "Ma", "age")]), ("runs filtered to remove pressures >{b} kbar; the rest gave {a} ppm", [("a", "ppm", "concentration")]), ("δ¹⁸O = +{b}‰ and SiO₂ = {b} wt%", [("b", "‰", "δ18O"), ("b", "wt%", "SIO2")]),
+    ("⁸⁷Sr/⁸⁶Sr = 0.7{a}, La/Yb = {b}", [("0.7a", "ratio", "87Sr/86Sr"), ("b", "ratio", "La/Yb")]), ("accuracy = {b}% on set {a}, RMSE = {b} °C", [("b", "%", "accuracy")]), ("calibrated to ±{b} °C, errors of {b}%, measured at {a} °C", [("a", "°C", "temperature")]),
+    ("p < 0.01 with n = {a}; 95% CI: {b} to {c}", []), ("see section {a} and figure {b}", []), ("pressure was logged while {a} °C held, then {b} km of core", [("a", "°C", "temperature"), ("b", "km", "distance")]),
+)
+
+
+def _sentence(template: str) -> str:
+    return "concat('" + template.replace("{a}", "', a, '").replace("{b}", "', b, '").replace("{c}", "', c, '") + "')"
+
+
+#: a has three digits or more, b one decimal, c is above b; all as text.
+_A, _B = "CAST(100 + user_id % 900 AS VARCHAR(9)) AS a", "concat(CAST(1 + event_id % 40 AS VARCHAR(9)), '.', CAST(1 + user_id % 9 AS VARCHAR(9))) AS b"
+_NOTES = ("event_id", "CAST(event_id % 12 AS INT) AS kind", _A, _B, "concat(CAST(50 + event_id % 40 AS VARCHAR(9)), '.5') AS c")
+
+
+@query("effect_readings", f"WITH notes AS (SELECT {', '.join(_NOTES)} FROM events) " + " UNION ALL ".join(f"SELECT event_id, CAST({'concat($0.7$, a)'.replace('$', chr(39)) if v == '0.7a' else v} AS DOUBLE) AS value, '{u}' AS unit, '{m}' AS measurement FROM notes WHERE kind = {k}" for k, (_, found) in enumerate(SENTENCES) for v, u, m in found))
+def effect_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "events").selectExpr(*_NOTES)
+    note = F.expr("CASE kind " + " ".join(f"WHEN {k} THEN {_sentence(t)}" for k, (t, _) in enumerate(SENTENCES)) + " END")
+    return notes.select("event_id", F.explode(readings.single_measurements(note)).alias("m")).select("event_id", "m.value", "m.unit", "m.measurement")
+
+
+_CUES = ("vs", "versus", "compared to", "relative to", "in contrast to", "in the control group", "after placebo", "in the treatment group", "at baseline")
+_ARMS = ("event_id", _A, _B, "CAST(5 + event_id % 60 AS VARCHAR(9)) AS n", "CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CUES)) + " END AS cue")
+
+
+@query("effect_pairs", f"WITH arms AS (SELECT {', '.join(_ARMS)} FROM events) SELECT event_id, CAST(a AS DOUBLE) AS m1, CAST(b AS DOUBLE) AS sd1, 7.0::DOUBLE AS m2, 0.5::DOUBLE AS sd2, CAST(n AS INT) AS n1, 0.03::DOUBLE AS p_value, cue AS comparison, 'mg' AS unit FROM arms".replace("cue AS comparison", "CASE event_id % 9 WHEN 5 THEN 'control group' WHEN 6 THEN 'placebo' WHEN 7 THEN 'treatment group' WHEN 8 THEN 'baseline' ELSE cue END AS comparison"))
+def effect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arms = table(spark, sf_dir, "events").selectExpr(*_ARMS)
+    note = F.expr("concat('loss of ', a, ' ± ', b, ' mg here ', cue, ' 7.0 ± 0.5 mg (n = ', n, ', p = 0.03)')")
+    return arms.select("event_id", F.explode(readings.effect_pairs(note)).alias("p")).select("event_id", "p.m1", "p.sd1", "p.m2", "p.sd2", "p.n1", "p.p_value", "p.comparison", "p.unit")
+
+
 @query("simple_effects", """SELECT event_id, (event_id % 400) / 4.0 AS mean, (event_id % 40) / 4.0 AS sd, (event_id % 50) AS events, (event_id % 50 + 20) AS total FROM events""")
 def simple_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = lambda n: (F.col("event_id") % n / 4).cast("decimal(18,2)").cast("string")
