@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clustering, evidence
+from ..operators import clustering, density, evidence
 from .papers import MEASURED_SQL, PAPERS_SQL, measured, papers
 from .registry import query, table
 
@@ -141,6 +141,16 @@ def distinctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.distinctive_terms(d, "lang", "t").withColumn("score", F.round("score", 8))
 
 
+@query("density_clusters", """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS c FROM v x, v y WHERE list_cosine_similarity(x.e, y.e) >= 0.3),
+core AS (SELECT a FROM s GROUP BY a HAVING count(*) >= 3), r(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a WHERE s.b IN (FROM core)), comp AS (SELECT a, min(b) AS cluster FROM r GROUP BY a),
+border AS (SELECT a, arg_max(b, c) AS b FROM s WHERE a NOT IN (FROM core) AND b IN (FROM core) GROUP BY a), m AS (SELECT a, cluster, 'core' AS kind FROM comp UNION ALL SELECT border.a, cluster, 'border' FROM border JOIN comp ON border.b = comp.a),
+big AS (SELECT cluster FROM m GROUP BY cluster HAVING count(*) >= 3) SELECT vec_id, big.cluster, CASE WHEN big.cluster IS NULL THEN 'noise' ELSE m.kind END AS kind FROM v LEFT JOIN m ON vec_id = m.a LEFT JOIN big ON m.cluster = big.cluster""")
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors are noise by nature: at a cosine of 0.3 a part of them forms chains."""
+    found = density.density_clusters(spark, table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3, 3, 3)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query("context_packing")
 def context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.pack(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20_000, "doc_id")
