@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clustering, extraction, readings
+from ..operators import clustering, extraction, readings, vocabulary
 from .papers import PAPERS_SQL, papers
 from .registry import query, table
 
@@ -59,6 +59,29 @@ def weighted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+#: Hundreds of terms: the commonest words of each language, longer ones with more weight.
+_FIELDS = """w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT lang AS label, word, 1 + (length(word) % 4) / 2.0 AS weight, length(lang) + ascii(lang) AS position FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM c) WHERE r <= 150)"""
+
+
+@query("field_scores", f"WITH {_FIELDS} SELECT doc_id AS id, label, sum((length(text) - length(replace(lower(text), word, '')))::DOUBLE / length(word) * weight)::DOUBLE AS score FROM documents, v WHERE contains(lower(text), word) GROUP BY ALL")
+def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.label_scores(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _fields(spark, sf_dir))
+
+
+@query("fields", f"""WITH {_FIELDS}, s AS (SELECT doc_id, label, position, sum((length(text) - length(replace(lower(text), word, '')))::DOUBLE / length(word) * weight)::DOUBLE AS s FROM documents, v WHERE contains(lower(text), word) GROUP BY ALL),
+b AS (SELECT doc_id, label, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, position, label) AS r FROM s) SELECT DISTINCT d.doc_id AS id, coalesce(label, 'general') AS label, coalesce(s, 0.0) AS score FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1""")
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.best_labels(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _fields(spark, sf_dir))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where("r <= 150")
+    return top.select(F.col("lang").alias("label"), "word", (1 + F.length("word") % 4 / 2).alias("weight"), (F.length("lang") + F.ascii("lang")).alias("position"))
+
+
 @query("foreign_text", "SELECT doc_id, length(text) >= 20 AND coalesce(length(regexp_replace(text, '[\\x00-\\x7F]|\\P{L}', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '\\P{L}', '', 'g')), 0), 0) >= 0.3 AS is_foreign FROM documents")
 def foreign_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.is_foreign(F.col("text")).alias("is_foreign"))
