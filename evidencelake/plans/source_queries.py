@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators import records
 from ..scratch import Scratch, shared_folder
-from ..sources import export, providers, stores
+from ..sources import export, pages, providers, stores
 from ..streaming import monitor
 from .papers import papers
 from .record_queries import full_records
@@ -176,3 +176,40 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = full_records(spark, sf_dir)
     return records.merge_clusters(r, r.select("ingest_pos", F.concat(F.lit("c"), "paper_id").alias("cluster"))).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_records").alias("records"))
+
+
+#: Documents as the pages of a provider: 50 a page by id, years that go with the pages.
+_PAGED = """paged AS (SELECT doc_id::VARCHAR AS id, '10.' || (1000 + doc_id // 50 % 7)::VARCHAR || '/' || doc_id::VARCHAR AS doi, substr(text, 1, 40) AS title, (1990 + doc_id // 50 % 35)::INT AS year,
+  CASE WHEN doc_id % 5 = 0 THEN 'posted-content' WHEN doc_id % 5 < 4 THEN 'journal-article' END AS type, CASE WHEN doc_id % 3 < 2 THEN doc_id % 3 = 0 END AS is_open_access FROM documents)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the documents' pages, written by Spark."""
+    page = F.floor(F.col("doc_id") / 50).cast("int")
+    kind = F.when(F.col("doc_id") % 5 == 0, "posted-content").when(F.col("doc_id") % 5 < 4, "journal-article")
+    records = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("10."), (page % 7 + 1000).cast("string"), F.lit("/"), F.col("doc_id").cast("string")).alias("doi"), F.substring("text", 1, 40).alias("title"), (page % 35 + 1990).alias("year"), kind.alias("type"), F.when(F.col("doc_id") % 3 < 2, F.col("doc_id") % 3 == 0).alias("is_open_access"), page.alias("page"),
+    )
+    path = Scratch(spark, "pages").path("provider")
+    pages.write_pages(records, path)
+    return path
+
+
+@query("provider_scan", f"WITH {_PAGED} SELECT id, doi, title, year FROM paged WHERE year BETWEEN 1995 AND 2004 AND is_open_access AND type = 'journal-article'")
+def provider_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.read_pages(spark, _pages(spark, sf_dir))
+    return found.where("year BETWEEN 1995 AND 2004 AND is_open_access AND type = 'journal-article'").select("id", "doi", "title", "year")
+
+
+@query("provider_prefix", f"WITH {_PAGED} SELECT id, doi, type FROM paged WHERE doi LIKE '10.1003/%'")
+def provider_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.of_prefix(spark, _pages(spark, sf_dir), "10.1003").select("id", "doi", "type")
+
+
+@query("provider_stream", f"WITH {_PAGED} SELECT type, count(*) AS n, min(year) AS first_year FROM paged GROUP BY type")
+def provider_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as a stream that ends where the chain of cursors does."""
+    scratch = Scratch(spark, "page-stream")
+    out = scratch.path("records")
+    pages.stream_pages(spark, _pages(spark, sf_dir)).writeStream.format("parquet").option("checkpointLocation", scratch.path("state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("type").agg(F.count("*").alias("n"), F.min("year").alias("first_year"))
