@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clustering, extraction, readings, vocabulary
+from ..operators import abbreviations as short_forms
+from ..operators import clustering, extraction, fulltext, readings, vocabulary
 from .papers import PAPERS_SQL, papers
 from .registry import query, table
 
@@ -227,3 +228,32 @@ def arm_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("l_linenumber") % 4 == 0, "n.d.").otherwise(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "<").otherwise("~"), F.format_number("l_extendedprice", 2), F.lit(" ppm")))
     return extraction.table_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))).drop("raw")
+
+
+#: Sentences that explain a short form of three words, in five ways, and one that does not.
+_NAMES = ("p_partkey", "p_partkey % 6 AS kind", "lower(split_part(p_name, ' ', 1)) AS a", "lower(split_part(p_name, ' ', 2)) AS b")
+_SHORT, _LONG = "upper(concat(substr(a, 1, 1), substr(b, 1, 1), 'x'))", "concat(a, ' ', b, ' xylem')"
+
+
+@query("abbreviations", f"WITH t AS (SELECT {', '.join(_NAMES)} FROM part) SELECT p_partkey, {_SHORT} AS short, {_LONG} AS long FROM t WHERE kind < 5")
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").selectExpr(*_NAMES).withColumns({"short": F.expr(_SHORT), "long": F.expr(_LONG)})
+    note = F.expr("""CASE kind WHEN 0 THEN concat('We looked at the ', long, ' (', short, ') twice.') WHEN 1 THEN concat('By ', short, ' (', long, ') it rose.') WHEN 2 THEN concat('Here ', short, ' stands for ', long, '.')
+      WHEN 3 THEN concat('It is the ', long, ', hereafter ', short, '.') WHEN 4 THEN concat('the ', initcap(long), ' was seen, and ', short, ' again') ELSE 'No short form (see page 3) is explained here.' END""")
+    return t.select("p_partkey", F.explode(short_forms.abbreviations(note)).alias("short", "long"))
+
+
+_PARTS = {
+    "introduction": "concat('1. Introduction', chr(10), text)", "methods": "concat('Materials and Methods', chr(10), lang, ' ', text)", "results": "concat('RESULTS', chr(10), n_chars, ' characters were counted in the text that is given above')", "area": "concat('2 Study area', chr(10), text)",
+}
+_FULL = f"concat('Said before any heading', chr(10), {', chr(10), '.join(_PARTS.values())}, chr(10), 'References', chr(10), text, chr(10), 'Conclusions: short')"
+
+
+@query("text_sections", "WITH p AS (SELECT doc_id, " + ", ".join(f"trim({c}, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))) AS {n}" for n, c in _PARTS.items()) + f""" FROM documents WHERE text IS NOT NULL AND length({_FULL}) >= 200),
+s AS (SELECT doc_id, 'introduction' AS section, CASE WHEN length(introduction) > 50 THEN introduction END AS body FROM p UNION ALL SELECT doc_id, 'results', CASE WHEN length(results) > 50 THEN results END FROM p
+  UNION ALL SELECT doc_id, 'methods', concat_ws(concat(chr(10), chr(10)), CASE WHEN length(methods) > 50 THEN methods END, CASE WHEN length(area) > 50 THEN area END) FROM p)
+SELECT doc_id, section, length(body)::INT AS chars, sha256(body) AS digest FROM s WHERE body <> ''""")
+def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = F.when(F.col("text").isNotNull(), F.expr(_FULL))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(fulltext.sections(full)).alias("section", "body"))
+    return d.select("doc_id", "section", F.char_length("body").alias("chars"), F.sha2("body", 256).alias("digest"))
