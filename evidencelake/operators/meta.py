@@ -221,34 +221,32 @@ def p_curve(y: np.ndarray, v: np.ndarray, alpha: float = 0.05) -> dict[str, floa
     return {"k_significant": k, "stouffer_z": z, "p_right_skew": skew, "verdict": verdict}
 
 
+#: Bounds of the effect and of the weight. Fixed values.
+EFFECT_BOUND, WEIGHT_BOUNDS = 50.0, (0.01, 100.0)
+
+
 def selection_model(y: np.ndarray, v: np.ndarray, alpha: float = 0.05) -> dict[str, float] | None:
-    """Effect under a step weight for significant studies, by maximum likelihood; None for under 3 studies.
+    """Effect and weight of significant studies by maximum likelihood under a step selection; None for under 3 studies.
 
-    The weight's best value has a closed form for each effect (a binomial likelihood in the number of significant studies), so
-    the search is over the effect alone: a grid, then golden sections around its best point.
+    Study i is significant while the effect is below y_i - z_alpha * se_i. Between these cuts the number of significant studies is
+    fixed, so the best weight has a closed form (a binomial likelihood) and the likelihood is a parabola in the effect: its optimum
+    there is the naive effect or the nearer cut. Going over the cuts in order finds the best of all exactly; of equals the one
+    nearest to the naive effect.
     """
     if len(y) < 3 or (v <= 0).any():
         return None
-    se, k = np.sqrt(v), len(y)
-    naive = float((y / v).sum() / (1 / v).sum())
-
-    def weight_of(theta: float) -> tuple[float, float]:
-        z = (y - theta) / se
-        hits = int(sum(special.norm_sf(x) < alpha for x in z))
-        share = min(max(hits / k, 1e-9), 1 - 1e-9)
-        delta = min(max(share * (1 - alpha) / (alpha * (1 - share)), 0.01), 100.0)
-        return 0.5 * float((z * z).sum()) - hits * math.log(delta) + k * math.log(1 - alpha + alpha * delta), delta
-
-    reach = 3 * float(se.max()) + float(np.abs(y - naive).max())
-    grid = np.linspace(naive - reach, naive + reach, 401)
-    best = min(grid, key=lambda t: weight_of(t)[0])
-    lo, hi = best - grid[1] + grid[0], best + grid[1] - grid[0]
-    ratio = (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-        lo, hi = (lo, b) if weight_of(a)[0] < weight_of(b)[0] else (a, hi)
-    theta = min(((lo + hi) / 2, best), key=lambda t: weight_of(t)[0])
-    return {"adjusted_effect": float(theta), "selection_delta": weight_of(theta)[1], "naive_effect": naive, "shift": float(theta - naive)}
+    k, total = len(y), float((1 / v).sum())
+    naive = float((y / v).sum() / total)
+    cuts = np.clip(np.sort(y - special.norm_isf(alpha) * np.sqrt(v)), -EFFECT_BOUND, EFFECT_BOUND)
+    low, high = np.append(-EFFECT_BOUND, cuts), np.append(np.nextafter(cuts, -np.inf), EFFECT_BOUND)
+    hits = k - np.arange(k + 1)
+    share = np.clip(hits / k, 1e-12, 1 - 1e-12)
+    delta = np.clip(share * (1 - alpha) / (alpha * (1 - share)), *WEIGHT_BOUNDS)
+    theta = np.clip(naive, low, high)
+    cost = 0.5 * total * (theta - naive) ** 2 - hits * np.log(delta) + k * np.log(1 - alpha + alpha * delta)
+    cost[low > high] = np.inf  # two studies with one cut
+    best = min(np.flatnonzero(cost <= cost.min() + 1e-12).tolist(), key=lambda j: abs(theta[j] - naive))
+    return {"adjusted_effect": float(theta[best]), "selection_delta": float(delta[best]), "naive_effect": naive, "shift": float(theta[best] - naive)}
 
 
 def _per_pool(studies: DataFrame, by: list[str], effect: str, variance: str, schema: str, rows) -> DataFrame:

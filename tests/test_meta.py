@@ -99,3 +99,32 @@ def test_arms(spark):
     rows = [("a", 10.0, 2.0, 20, 8.0, 2.0, 20, None, None), ("b", 10.0, None, None, 8.0, None, None, 1.0, 3.0), ("c", 10.0, None, 5, 8.0, None, 5, None, None), ("d", 1.0, None, None, 1.0, None, None, None, None)]
     got = {r.paper_id: r for r in arms.continuous(spark.createDataFrame(rows, "paper_id string, mean1 double, sd1 double, n1 int, mean2 double, sd2 double, n2 int, ci_lower double, ci_upper double")).collect()}
     assert got["a"].scale == "smd" and got["a"].effect == pytest.approx(1 - 3 / 151) and got["b"].variance == pytest.approx((2 / 3.92) ** 2) and got["c"].variance == pytest.approx(0.4) and "d" not in got
+
+
+def test_selection_model_against_a_fine_search():
+    """No effect and weight of a fine search over both fit better, and the best of it is near."""
+    rng = np.random.default_rng(8)
+    for k in (3, 4, 7, 15, 40):
+        for _ in range(6):
+            v = rng.uniform(0.01, 0.4, k)
+            y = rng.normal(rng.choice([0.0, 0.3, 0.8]), 0.3, k)
+            got = meta.selection_model(y, v)
+
+            def cost(theta, delta, y=y, v=v, k=k):
+                z = (y[:, None] - theta) / np.sqrt(v)[:, None]
+                hits = (z > NORMAL_05).sum(axis=0)
+                return 0.5 * (z * z).sum(axis=0)[:, None] - hits[:, None] * np.log(delta) + k * np.log(0.95 + 0.05 * delta)
+
+            theta = np.linspace(got["naive_effect"] - 3, got["naive_effect"] + 3, 60_001)  # a step of 1e-4
+            delta = np.exp(np.linspace(math.log(0.01), math.log(100), 301))
+            fine = np.inf
+            for part in np.array_split(theta, 60):
+                fine = min(fine, cost(part, delta).min())
+            at = np.array([got["adjusted_effect"], got["adjusted_effect"] - 1e-9])  # an optimum may lie right below a cut
+            mine = cost(at, np.array([got["selection_delta"]])).min()
+            assert mine <= fine + 1e-6
+            near = got["adjusted_effect"] + np.linspace(-2e-5, 2e-5, 41)
+            assert cost(near, np.array([got["selection_delta"]])).min() >= mine - 1e-6
+
+
+NORMAL_05 = 1.6448536269514722
