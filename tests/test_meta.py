@@ -120,7 +120,7 @@ def test_selection_model_against_a_fine_search():
             fine = np.inf
             for part in np.array_split(theta, 60):
                 fine = min(fine, cost(part, delta).min())
-            at = np.array([got["adjusted_effect"], got["adjusted_effect"] - 1e-9])  # an optimum may lie right below a cut
+            at = got["adjusted_effect"] + np.array([-1e-9, 0.0, 1e-9])  # an optimum may lie right beside a cut
             mine = cost(at, np.array([got["selection_delta"]])).min()
             assert mine <= fine + 1e-6
             near = got["adjusted_effect"] + np.linspace(-2e-5, 2e-5, 41)
