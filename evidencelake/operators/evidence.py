@@ -120,11 +120,15 @@ class Lexicon:
     def __init__(self, words: dict[str, list[str]]):
         self.patterns = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(v, key=len, reverse=True))) + r")\b", re.IGNORECASE) for k, v in words.items() if v}
 
+    def turned(self, text: str) -> int:
+        """Words of support that a negation turns."""
+        return sum(bool(self.patterns["negation"].search(text[max(0, m.start() - 40) : m.start()])) for m in self.patterns["support"].finditer(text))
+
     def judge(self, text: str) -> tuple[str, float]:
         if not text.strip():
             return "mentioning", 0.0
         n = {k: len(p.findall(text)) for k, p in self.patterns.items()}
-        turned = sum(bool(self.patterns["negation"].search(text[max(0, m.start() - 40) : m.start()])) for m in self.patterns["support"].finditer(text))
+        turned = self.turned(text)
         against, behind, less = n["contrast"] + n["bad"] + turned, n["support"] - turned, 0.1 * n["hedge"]
         if against and against >= behind:
             return "contrasting", max(0.3, min(1.0, 0.55 + 0.12 * against - less))

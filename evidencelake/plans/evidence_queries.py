@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clustering, density, evidence
+from ..operators import clustering, density, evidence, stance_model
 from .papers import MEASURED_SQL, PAPERS_SQL, measured, papers
 from .registry import query, table
 
@@ -141,6 +141,51 @@ def distinctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.distinctive_terms(d, "lang", "t").withColumn("score", F.round("score", 8))
 
 
+#: How sentences of each stance begin; what follows is said in a conversation.
+_SAID = {
+    "supporting": ("These data agree with earlier work on", "In line with this, we find again", "Our findings corroborate the view of"), "contrasting": ("This is at odds with what was claimed on", "Contrary to that report we see no", "Earlier results on this fail to hold for"),
+    "extending": ("We build on this model and add", "Going further than before, the scheme now covers", "This generalises the earlier case of"), "methodology": ("Samples were polished and analysed by", "A protocol of three steps was run for", "Spectra were calibrated against"), "mentioning": ("A review has listed", "Several authors have written about", "The term is common in texts on"),
+}
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, label, context): turns of conversations behind a beginning of one stance."""
+    k = F.col("conv_id") * 7 + F.col("turn") * 3
+    begin = F.array(*(F.array(*map(F.lit, v)) for v in _SAID.values()))
+    said = F.get(F.get(begin, (k % 5).cast("int")), (F.col("conv_id") % 3).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(F.array(*map(F.lit, _SAID)), (k % 5).cast("int")).alias("label"), F.concat_ws(" ", said, "text").alias("context"))
+
+
+@query("stance_model")
+def stance_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four conversations of five and judges all turns, blended with lexicon and discourse."""
+    rows = _sentences(spark, sf_dir)
+    held_out = F.col("conv_id") % 5 == 3
+    model = stance_model.train(rows.where(~held_out), "context", "label")
+    judged = stance_model.lexicon_stance(stance_model.predict(rows, "context", model), "context")
+    best = stance_model.blended(F.col("model_scores"), F.col("stance"), F.col("stance_confidence"), F.col("negated"), stance_model.discourse_scores(F.col("context")))
+    top = F.array_max(F.transform(F.map_entries("model_scores"), lambda e: F.struct(e["value"], e["key"])))["key"]
+    return judged.select("conv_id", "turn", "label", held_out.alias("held_out"), top.alias("model_stance"), best["stance"].alias("blended"), F.round(best["score"], 4).alias("score"))
+
+
+_BLEND = """WITH e AS (SELECT event_id, (event_id % 10) / 10.0 AS c, event_id % 4 = 0 AS negated, event_id % 6 AS k, (event_id % 9) / 9.0 AS m, event_id % 3 AS d FROM events),
+s AS (SELECT e.*, o, stance, CASE WHEN negated THEN 0.3 WHEN greatest(m, (1 - m) / 4) < 0.6 AND k < 5 THEN 0.3 ELSE 0.5 END AS wm, CASE WHEN negated THEN 0.6 WHEN greatest(m, (1 - m) / 4) < 0.6 AND k < 5 THEN 0.5 ELSE 0.3 END AS wl, CASE WHEN negated THEN 0.1 ELSE 0.2 END AS wd
+  FROM e, (VALUES (0, 'supporting'), (1, 'contrasting'), (2, 'extending'), (3, 'methodology'), (4, 'mentioning')) AS v(o, stance)),
+b AS (SELECT event_id, stance, o, wm * CASE WHEN o = event_id % 5 THEN m ELSE (1 - m) / 4 END + wl * CASE WHEN k = 5 THEN 0.2 WHEN o = k THEN greatest(c, 0.3) / (greatest(c, 0.3) + 0.4) ELSE 0.1 / (greatest(c, 0.3) + 0.4) END + wd * CASE WHEN o = d THEN 1.0 ELSE 0.0 END AS score FROM s)
+SELECT event_id, round(max(score), 4)::DOUBLE AS score FROM b GROUP BY 1"""
+
+
+@query("stance_blend", _BLEND)
+def stance_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    names, k = F.array(*map(F.lit, stance_model.STANCES)), F.col("event_id")
+    m = k % 9 / 9
+    model = F.map_from_arrays(names, F.array(*(F.when(k % 5 == o, m).otherwise((1 - m) / 4) for o in range(5))))
+    discourse = F.map_from_arrays(names, F.array(*(F.when(k % 3 == o, 1.0).otherwise(0.0) for o in range(5))))
+    best = stance_model.blended(model, F.get(names, (k % 6).cast("int")), k % 10 / 10, k % 4 == 0, discourse)
+    return e.select("event_id", F.round(best["score"], 4).alias("score"))
+
+
 @query("density_clusters", """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS c FROM v x, v y WHERE list_cosine_similarity(x.e, y.e) >= 0.3),
 core AS (SELECT a FROM s GROUP BY a HAVING count(*) >= 3), r(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a WHERE s.b IN (FROM core)), comp AS (SELECT a, min(b) AS cluster FROM r GROUP BY a),
 border AS (SELECT a, arg_max(b, c) AS b FROM s WHERE a NOT IN (FROM core) AND b IN (FROM core) GROUP BY a), m AS (SELECT a, cluster, 'core' AS kind FROM comp UNION ALL SELECT border.a, cluster, 'border' FROM border JOIN comp ON border.b = comp.a),
