@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import ranking, screening
+from ..operators import neighbours, ranking, screening
 from ..scratch import Scratch
 from .papers import PAPERS_SQL, papers
 from .record_queries import discovery_papers
@@ -111,3 +111,11 @@ def terms_without_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trim_ranked", f"WITH {PAPERS_SQL} SELECT paper_id FROM papers ORDER BY length(coalesce(abstract, '')) > 50 DESC, citation_count DESC, paper_id LIMIT 50")
 def trim_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.trim_ranked(papers(spark, sf_dir), 50, score="citation_count").select("paper_id")
+
+
+@query("term_expansion", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, list_cosine_similarity(q.e, r.e) AS c FROM v q, v r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query, neighbour, rank::INT AS rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, neighbour) AS rank FROM s) WHERE rank <= 5""")
+def term_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id divides by 50 asks all vectors for its five nearest."""
+    e = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(spark, e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).withColumn("cosine", F.round("cosine", 6))

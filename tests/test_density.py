@@ -66,8 +66,8 @@ def test_blocks_are_bounded(spark):
     rows = [(k, v) for k, v in vectors(5, 600) if v and len(v) == 8]
     frame = spark.createDataFrame(rows, "id long, v array<double>")
     units = density.unit_vectors(frame, "v")
-    cells = density.Cells(units, 0.8, 32)
-    sizes = [r["count"] for r in cells.blocks(units).agg(F.count("*").alias("count")).collect()]
+    cells = density.Cells(units, 32)
+    sizes = [r["count"] for r in cells.blocks(units, units, 0.8).agg(F.count("*").alias("count")).collect()]
     assert len(sizes) > 50 and max(sizes) < 32 * 2 * 3  # hashing deals parts unevenly, within a small factor
     assert density.density_clusters(spark, frame.limit(0), "id", "v").count() == 0
 
