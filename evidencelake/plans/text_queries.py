@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import abbreviations as short_forms
-from ..operators import clustering, extraction, fulltext, readings, vocabulary
+from ..operators import clustering, extraction, fulltext, intent, readings, vocabulary
 from .papers import PAPERS_SQL, papers
 from .registry import query, table
 
@@ -257,3 +257,24 @@ def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.when(F.col("text").isNotNull(), F.expr(_FULL))
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(fulltext.sections(full)).alias("section", "body"))
     return d.select("doc_id", "section", F.char_length("body").alias("chars"), F.sha2("body", 256).alias("digest"))
+
+
+#: Questions about parts: the whole name, its second word alone, both words apart, or neither. A name's words are names themselves.
+_ASKED = """CASE p_partkey % 4 WHEN 0 THEN concat('An overview of the ', p_name, ' at depth') WHEN 1 THEN concat('How to classify any ', split_part(p_name, ' ', 2), '?') WHEN 2 THEN concat(split_part(p_name, ' ', 2), ' that is ', split_part(p_name, ' ', 1)) ELSE 'Springwidgets in general' END AS query"""
+
+
+def _named_things(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(slot, name, canonical, position): whole names and their second words as items, first words as looks."""
+    p = table(spark, sf_dir, "part").select("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b"))
+    rows = [p.select(F.lit("item").alias("slot"), F.col("p_name").alias("name"), F.col("p_name").alias("canonical"), F.lit(1).alias("position")), p.select(F.lit("item"), "b", "b", F.lit(2)), p.select(F.lit("item"), F.concat("b", F.lit("s")), "b", F.lit(3)), p.select(F.lit("look"), "a", "a", F.lit(4))]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).distinct()
+
+
+@query("query_intents", f"""WITH q AS (SELECT p_partkey, p_partkey % 4 AS k, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_name, {_ASKED} FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN p_name WHEN 1 THEN b WHEN 2 THEN b END AS item, CASE WHEN k IN (0, 2) THEN a END AS look, CASE k WHEN 0 THEN 'review' WHEN 1 THEN 'identification' END AS goal, k < 3 AS understood,
+  CASE k WHEN 0 THEN query || ' ' || p_name || ' ' || a WHEN 1 THEN query || ' ' || b || ' ' || b || 's' WHEN 2 THEN query || ' ' || b || ' ' || b || 's ' || a ELSE query END AS expanded FROM q""")
+def query_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, v = table(spark, sf_dir, "part").selectExpr("p_partkey", _ASKED), _named_things(spark, sf_dir)
+    found = intent.intents(q, v, "p_partkey", "query", ("item",))
+    wide = intent.expanded(q, v, "p_partkey", "query").withColumnRenamed("id", "eid")
+    return found.join(wide, F.col("id") == F.col("eid")).select(F.col("id").alias("p_partkey"), F.col("slots")["item"].alias("item"), F.col("slots")["look"].alias("look"), "goal", "understood", "expanded")
