@@ -434,7 +434,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     v, counts = count_words(spark, learn, "text", scratch)
     p = train(learn, "id", "text", v, rounds, shares)
     held = spark.sparkContext.broadcast((p, v))
-    inner = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("net", T.DoubleType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    inner = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("net", T.DoubleType()), T.StructField("keys", T.ArrayType(T.LongType(), False)), T.StructField("times", T.ArrayType(T.LongType(), False))])
     names = [f.name for f in inner]
 
     def run(batches):
@@ -457,26 +457,21 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             base = np.bincount(of, weights=logs, minlength=len(n)) + end_log
             net += np.bincount(of[other], weights=logs[other] - log_sum[surface[other]], minlength=len(n))
             known = np.bincount(of[c > 0], minlength=len(n)) + end_known
-            empty = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([number, *batch.columns[:2], pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(net), empty, empty], names=["rid", "id", "learns", *names])
             rare = c == 0
-            if rare.any():
-                pair = np.stack((of[rare].astype(np.int64), keys[rare].view(np.int64)))
-                order = np.lexsort((pair[1], pair[0]))
-                pair = pair[:, order]
-                change = np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))
-                where = np.flatnonzero(change)
-                times = np.diff(np.append(where, pair.shape[1]))
-                take, gap = pa.array(pair[0][where]), len(where)
-                void = [pa.nulls(gap, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(x.take(take) for x in (number, *batch.columns[:2])), *void, pa.array(pair[1][where]), pa.array(times)], names=["rid", "id", "learns", *names])
+            pair = np.stack((of[rare].astype(np.int64), keys[rare].view(np.int64)))
+            pair = pair[:, np.lexsort((pair[1], pair[0]))]
+            where = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))) if pair.shape[1] else np.zeros(0, dtype=np.int64)
+            times = np.diff(np.append(where, pair.shape[1]))
+            ends = pa.array(np.searchsorted(pair[0][where], np.arange(len(n) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pair[1][where], times)]
+            yield pa.RecordBatch.from_arrays([number, *batch.columns[:2], pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(net), *lists], names=["rid", "id", "learns", *names])
 
     keyed = source.select("id", "learns", "text")
     rows = scratch.keep(keyed.mapInArrow(run, T.StructType([T.StructField("rid", T.LongType()), *keyed.schema.fields[:2], *inner.fields])), "rows")
     least = max(1, -(-v.total // COMMON))
-    rare = rows.where("key IS NOT NULL").select("rid", "key", "n").join(counts.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key")
+    rare = rows.select("rid", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("rid", F.col("w.keys").alias("key"), F.col("w.times").alias("n")).join(counts.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key")
     more = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("more_known"))
-    whole = rows.where("key IS NULL").select("rid", "id", "learns", "n_tokens", "known", "base", "net")
+    whole = rows.select("rid", "id", "learns", "n_tokens", "known", "base", "net")
     joined = whole.join(more, "rid", "left").withColumns({"more": F.coalesce("more", F.lit(0.0)), "more_known": F.coalesce("more_known", F.lit(0))})
     return joined.select(
         "id", (~F.col("learns")).alias("held_out"), "n_tokens", (F.col("known") + F.col("more_known")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
