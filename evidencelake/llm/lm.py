@@ -173,11 +173,14 @@ def _step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.nd
     return n + z * (h - n), z, r, n, hu[:, 2 * HIDDEN :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """Down the columns: a row an outcome, a column a token, so that sums run over whole rows at a time."""
+def _exponentials(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits, a row an outcome and a column a token, so that sums run over whole rows at a time: their exponentials (in
+    the place of ``x``), the sum of each column, and the log probability of each column's own outcome. An exponential is taken once."""
     x -= x.max(axis=0)
-    x -= np.log(np.exp(x).sum(axis=0))
-    return x
+    logit = x[own, np.arange(len(own))]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return x, total, logit - np.log(total)
 
 
 def _class_of(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
@@ -199,9 +202,9 @@ def _by_group(v: Vocabulary, ids: np.ndarray):
 
 def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, hidden: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural logarithm of the class of each next token and, for top words, of the word within it."""
-    out = _log_softmax(p["C"].T @ hidden.T + p["c"][:, None])[_class_of(v, ids), np.arange(len(ids))].astype(np.float64)
+    out = _exponentials(p["C"].T @ hidden.T + p["c"][:, None], _class_of(v, ids))[2].astype(np.float64)
     for g, at in _by_group(v, ids):
-        out[at] += _log_softmax(p["W"][g].T @ hidden[at].T + p["w"][g][:, None])[ids[at] % v.width, np.arange(len(at))]
+        out[at] += _exponentials(p["W"][g].T @ hidden[at].T + p["w"][g][:, None], ids[at] % v.width)[2]
     return out
 
 
@@ -221,22 +224,19 @@ def gradients(p: dict[str, np.ndarray], v: Vocabulary, before: np.ndarray, after
     scale = np.float32(1 / len(ids))
     g = {k: np.zeros_like(x) for k, x in p.items()}
     at = np.arange(len(ids))
-    logp = _log_softmax(p["C"].T @ flat.T + p["c"][:, None])
     own = _class_of(v, ids)
-    loss = -float(logp[own, at].sum())
-    d = np.exp(logp)
-    d[own, at] -= 1
-    d *= scale
+    d, total, logp = _exponentials(p["C"].T @ flat.T + p["c"][:, None], own)
+    loss = -float(logp.sum())
+    d *= scale / total
+    d[own, at] -= scale
     g["C"], g["c"] = (d @ flat).T, d.sum(axis=1)
     dh = d.T @ p["C"].T
     for group, where in _by_group(v, ids):
         sub, word = flat[where], ids[where] % v.width
-        logp = _log_softmax(p["W"][group].T @ sub.T + p["w"][group][:, None])
-        own = np.arange(len(where))
-        loss -= float(logp[word, own].sum())
-        d = np.exp(logp)
-        d[word, own] -= 1
-        d *= scale
+        d, total, logp = _exponentials(p["W"][group].T @ sub.T + p["w"][group][:, None], word)
+        loss -= float(logp.sum())
+        d *= scale / total
+        d[word, np.arange(len(where))] -= scale
         g["W"][group], g["w"][group] = (d @ sub).T, d.sum(axis=1)
         dh[where] += d.T @ p["W"][group].T
     dh = dh.reshape(steps, lanes, HIDDEN)
