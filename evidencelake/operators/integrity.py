@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 VOCABULARY = {
     "execution_status": ["succeeded", "empty", "failed", "timed_out"], "review_status": ["unreviewed", "model_suggested", "human_reviewed"], "stage": ["title_abstract", "full_text"],
     "decision": ["include", "exclude", "uncertain"], "origin": ["human", "model", "rule"], "adjudication_status": ["consensus", "adjudicated", "unresolved"],
+    "protocol_status": ["draft", "approved", "registered", "amended", "completed"],
 }
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
 #: What makes two effects comparable. Fixed values.
@@ -42,6 +43,24 @@ def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def texts(c: Column, least: int = 0) -> Column:
+    """Whether an array has ``least`` items, none of them null or blank and none twice once trimmed; a null array has none."""
+    return F.when(c.isNull(), F.lit(least == 0)).otherwise((F.size(c) >= least) & ~F.exists(c, blank) & (F.size(F.array_distinct(F.transform(c, lambda x: F.trim(x)))) == F.size(c)))
+
+
+def protocols(t: DataFrame) -> DataFrame:
+    """A protocol states its question, when it was made, at least one inclusion criterion and one planned source, in lists without
+    blanks or repeats; exclusion criteria may be none. Its status is one of the vocabulary; a registration, if any, is not blank."""
+    return together(
+        unique(t, ["protocol_id"], "protocol id repeats"),
+        check(t, "protocol_id", {
+            "no protocol id": blank(F.col("protocol_id").cast("string")), "no question": blank(F.col("research_question")), "time without offset": ~F.col("created_at_utc").rlike(TIMESTAMP),
+            "no inclusion criterion": ~texts(F.col("inclusion_criteria"), 1), "bad exclusion criteria": ~texts(F.col("exclusion_criteria")), "no planned source": ~texts(F.col("planned_sources"), 1),
+            "unknown protocol status": ~F.col("status").isin(VOCABULARY["protocol_status"]), "blank registration": F.col("preregistration_uri").isNotNull() & blank(F.col("preregistration_uri")),
+        }),
+    )
+
+
 def executions(t: DataFrame) -> DataFrame:
     failed = F.col("status").isin("failed", "timed_out")
     return together(

@@ -25,6 +25,20 @@ def execution_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(integrity.executions(e))
 
 
+@query("protocol_violations", """WITH p AS (SELECT o_orderkey AS k FROM orders)
+SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN k % 6 = 0 OR k % 7 = 0 THEN 'no inclusion criterion' END, CASE WHEN k % 5 = 0 THEN 'no planned source' END, CASE WHEN k % 4 = 0 THEN 'bad exclusion criteria' END, CASE WHEN k % 9 = 0 THEN 'unknown protocol status' END, CASE WHEN k % 8 = 0 THEN 'blank registration' END, CASE WHEN k % 10 = 0 THEN 'time without offset' END, CASE WHEN k % 11 = 0 THEN 'no question' END]) AS rule FROM p) WHERE rule IS NOT NULL GROUP BY 1""")
+def protocol_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as protocols: the words of the priority are the criteria, repeated in every seventh."""
+    k, words = F.col("o_orderkey"), F.transform(F.split("o_orderpriority", "-"), lambda x: F.trim(x))
+    none = F.array().cast("array<string>")
+    p = table(spark, sf_dir, "orders").select(
+        k.alias("protocol_id"), F.when(k % 11 == 0, " ").otherwise("which?").alias("research_question"), F.when(k % 10 == 0, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00Z").alias("created_at_utc"),
+        F.when(k % 6 == 0, none).when(k % 7 == 0, F.concat(words, words)).otherwise(words).alias("inclusion_criteria"), F.when(k % 4 == 0, F.array(F.lit("x"), F.lit(" "))).when(k % 4 == 1, none).alias("exclusion_criteria"),
+        F.when(k % 5 == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("planned_sources"), F.when(k % 9 == 0, "lost").otherwise("draft").alias("status"), F.when(k % 8 == 0, "").when(k % 8 == 1, "doi:1").alias("preregistration_uri"),
+    )
+    return counted(integrity.protocols(p))
+
+
 @query("source_violations", "SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN c_custkey % 4 = 0 THEN 'no locator' END, CASE WHEN c_custkey % 10 = 0 THEN 'year out of range' END, CASE WHEN c_custkey % 7 = 0 THEN 'bad digest' END]) AS rule FROM customer) WHERE rule IS NOT NULL GROUP BY 1")
 def source_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(integrity.sources(sources(spark, sf_dir)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import summaries
+from ..operators import domains, summaries
 from .papers import MEASURED_SQL, PAPERS_SQL, measured, papers
 from .registry import query, table
 
@@ -79,3 +79,29 @@ def cross_theme_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("measurement_kinds", f"WITH {MEASURED_SQL} SELECT seq, CASE WHEN unit IN ('K', '°C') THEN 'temperature' WHEN unit IN ('kbar', 'GPa') THEN 'pressure' WHEN value * 20 BETWEEN 200 AND 1600 THEN 'temperature' WHEN value * 20 BETWEEN 0.1 AND 100 THEN 'pressure' ELSE 'other' END AS kind FROM measured")
 def measurement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(spark, sf_dir).select("seq", summaries.classify_measurement(F.col("measurement"), F.col("unit"), F.col("value") * 20).alias("kind"))
+
+
+_SAMPLES_SQL = """s AS (SELECT l_partkey, l_returnflag, CASE WHEN l_linenumber > 1 THEN l_extendedprice * l_linenumber / 100 + 1.371e-7 END AS age, CASE WHEN l_linenumber < 5 THEN (l_orderkey % 360)::DOUBLE END AS strike, CASE WHEN l_linenumber > 2 THEN l_quantity END AS dip,
+  l_tax * 12 + 0.0007 AS cu, (l_quantity + 0.037) / 6 AS au, 30.0000001371 + l_extendedprice / 2000 AS silica, l_discount * 80 + 0.0137 AS soda, l_tax * 60 AS potash FROM lineitem)"""
+
+
+@query("domain_statistics", f"""WITH {_SAMPLES_SQL}, g AS (SELECT l_partkey, l_returnflag, count(*) FILTER (age > 0) AS age_n, min(age) FILTER (age > 0) AS age_lo, max(age) FILTER (age > 0) AS age_hi, avg(age) FILTER (age > 0) AS age_mean, stddev_samp(age) FILTER (age > 0) AS age_sd,
+  count(*) FILTER (strike IS NOT NULL AND dip IS NOT NULL) AS turns, avg(strike) FILTER (dip IS NOT NULL) AS strike, avg(dip) FILTER (strike IS NOT NULL) AS dip, avg(silica) AS silica, avg(soda) + avg(potash) AS alkali, count(*) FILTER (cu > 0) AS cu_n, avg(cu) FILTER (cu > 0) AS cu, count(*) FILTER (au > 0) AS au_n, avg(au) FILTER (au > 0) AS au FROM s GROUP BY ALL)
+SELECT l_partkey, l_returnflag, age_n, round(age_lo, 6) AS age_lo, round(age_hi, 6) AS age_hi, round(age_mean, 6) AS age_mean, round(CASE WHEN age_n > 0 THEN coalesce(age_sd, 0) END, 6) AS age_sd, CASE WHEN age_mean > 541 THEN 'Precambrian' END AS era, CASE WHEN age_mean > 2500 THEN 'Archean' WHEN age_mean > 541 THEN 'Proterozoic' END AS eon,
+  turns, round(strike, 6) AS mean_strike, round(dip, 6) AS mean_dip, round(silica, 6) AS silica, round(alkali, 6) AS alkali,
+  CASE WHEN silica < 45 THEN CASE WHEN alkali < 3 THEN 'basanite' ELSE 'foidite / tephrite' END WHEN silica < 52 THEN 'basalt' WHEN silica < 57 THEN 'basaltic andesite' WHEN silica < 63 THEN 'andesite'
+    WHEN silica >= 77 THEN 'high-silica rhyolite' WHEN alkali > 8 THEN 'phonolite' WHEN silica < 65 AND alkali > 5 THEN 'trachyandesite' WHEN silica < 69 THEN 'dacite' WHEN alkali > 5 THEN 'trachyte' ELSE 'rhyolite' END AS rock,
+  concat_ws('; ', CASE WHEN cu_n > 0 THEN 'Cu_pct ' || cu_n || CASE WHEN cu < 0.3 THEN ' low grade' WHEN cu < 1 THEN ' moderate grade' ELSE ' high grade' END END, CASE WHEN au_n > 0 THEN 'Au_ppm ' || au_n || CASE WHEN au < 1 THEN ' low grade' WHEN au < 5 THEN ' moderate grade' ELSE ' high grade' END END) AS grades FROM g""")
+def domain_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as samples of their part, by return flag; odd offsets keep means off the ties of rounding and the edges of classes."""
+    line = F.col("l_linenumber")
+    s = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_returnflag", F.when(line > 1, F.col("l_extendedprice") * line / 100 + 1.371e-7).alias("Age_Ma"), F.when(line < 5, F.col("l_orderkey") % 360).alias("Strike"), F.when(line > 2, F.col("l_quantity")).alias("Dip"),
+        (F.col("l_tax") * 12 + 0.0007).alias("Cu_pct"), ((F.col("l_quantity") + 0.037) / 6).alias("Au_ppm"), (30.0000001371 + F.col("l_extendedprice") / 2000).alias("SiO2"), (F.col("l_discount") * 80 + 0.0137).alias("Na2O"), (F.col("l_tax") * 60).alias("K2O"),
+    )
+    flat = domains.statistics(s, ["l_partkey", "l_returnflag"]).select(
+        "l_partkey", "l_returnflag", F.col("age.n").alias("age_n"), F.col("age.lo").alias("age_lo"), F.col("age.hi").alias("age_hi"), F.col("age.mean").alias("age_mean"), F.col("age.sd").alias("age_sd"), "age.era", "age.eon",
+        F.col("orientation.n").alias("turns"), "orientation.mean_strike", "orientation.mean_dip", "rock.silica", "rock.alkali", F.col("rock.name").alias("rock"),
+        F.array_join(F.transform("grades", lambda g: F.concat_ws(" ", g["metal"], g["n"].cast("string"), g["category"])), "; ").alias("grades"),
+    )
+    return rounded(flat, "age_lo", "age_hi", "age_mean", "age_sd", "mean_strike", "mean_dip", "silica", "alkali")
