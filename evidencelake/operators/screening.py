@@ -284,6 +284,35 @@ def work_saved(ranked: DataFrame, position: str = "position", relevant: str = "r
     return out.select((1 - F.col("n_to") / F.col("n")).alias("wss"), "n_to", F.try_divide("early", "r").alias("recall_at_10"))
 
 
+def random_baseline(judged: DataFrame, id_col: str = "paper_id", relevant: str = "relevant", seeds: str | None = None, draws: int = 5, seed: int = 42, share: float = 0.95, digits: int = 3) -> DataFrame:
+    """(draw, n, n_relevant, n_to, wss, recall_at_10) of ``draws`` random orders: what a ranking has to beat. Seeds, if any, come first.
+
+    Orders follow the MD5 of seed, draw and id, so that reruns agree. Rows are counted by the first ``digits`` hexadecimal digits;
+    only the block in which the share is reached and that in which the first tenth ends are put in order, each about one in
+    16**digits rows. Null flags are false; null ids are one empty id; rows of one id are neighbours, the relevant first. Without
+    relevant rows the whole list is read and there is no recall. An empty table gives an empty one.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
+    rows = judged.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), flag(relevant).alias("hit"), flag(seeds).alias("first"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), "id")))
+    rows = rows.withColumn("block", F.conv(F.left("h", F.lit(digits)), 16, 10).cast("int") - F.when(F.col("first"), 16**digits).otherwise(0))
+    before, whole = W.partitionBy("draw").orderBy("block").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("draw")
+    blocks = rows.groupBy("draw", "block").agg(F.count("*").alias("k"), F.count_if("hit").alias("hits")).select(
+        "draw", "block", "k", "hits", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("hits_before"),
+        F.sum("k").over(whole).alias("n"), F.sum("hits").over(whole).alias("n_relevant"),
+    )
+    goal, tenth = F.lit(share) * F.col("n_relevant"), F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    reached = (F.col("hits_before") < goal) & (goal <= F.col("hits_before") + F.col("hits"))
+    edges = blocks.where(reached | ((F.col("rows_before") < tenth) & (tenth <= F.col("rows_before") + F.col("k"))))  # two a draw at most
+    order = W.partitionBy("draw", "block").orderBy("h", "id", F.desc("hit"))
+    inside = rows.join(F.broadcast(edges), ["draw", "block"])
+    at, seen = F.col("rows_before") + F.row_number().over(order), F.col("hits_before") + F.sum(F.col("hit").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    found = inside.select("draw", "n", "n_relevant", at.alias("at"), seen.alias("seen"), goal.alias("goal"), tenth.alias("tenth"))
+    out = found.groupBy("draw", "n", "n_relevant").agg(F.min(F.when((F.col("goal") > 0) & (F.col("seen") >= F.col("goal")), F.col("at"))).alias("n_to"), F.max(F.when(F.col("at") == F.col("tenth"), F.col("seen"))).alias("early"))
+    n_to = F.coalesce("n_to", "n")
+    return out.select("draw", "n", "n_relevant", n_to.alias("n_to"), (1 - n_to / F.col("n")).alias("wss"), F.try_divide("early", "n_relevant").alias("recall_at_10"))
+
+
 def stopping(labels: DataFrame, total: int, order: str = "position", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """After each review: the posterior share of includes, the relevant left to expect, and whether either stop rule holds."""
     w = W.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(W.unboundedPreceding, 0)

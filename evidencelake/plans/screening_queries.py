@@ -133,6 +133,16 @@ def work_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.work_saved(r).select(F.round("wss", 6).alias("wss"), "n_to", F.round("recall_at_10", 6).alias("recall_at_10"))
 
 
+@query("random_baseline", """WITH r AS (SELECT draw, coalesce(quality = 1, false) AS rel, row_number() OVER (PARTITION BY draw ORDER BY doc_id % 20 <> 0, md5('42:' || draw || ':' || doc_id), quality DESC) AS p FROM labels, range(1, 6) t(draw)),
+s AS (SELECT draw, p, rel, sum(rel::INT) OVER (PARTITION BY draw ORDER BY p) AS seen, sum(rel::INT) OVER (PARTITION BY draw) AS k, count(*) OVER (PARTITION BY draw) AS n FROM r)
+SELECT draw::INT AS draw, any_value(n) AS n, any_value(k)::BIGINT AS n_relevant, min(p) FILTER (seen >= 0.95::DOUBLE * k) AS n_to, round(1 - min(p) FILTER (seen >= 0.95::DOUBLE * k)::DOUBLE / any_value(n), 6) AS wss, round((count(*) FILTER (rel AND p <= greatest(1, n // 10)))::DOUBLE / any_value(k), 6) AS recall_at_10 FROM s GROUP BY 1""")
+def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in five random orders; ids that 20 divides have been screened."""
+    j = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("relevant"), (F.col("doc_id") % 20 == 0).alias("screened"))
+    out = screening.random_baseline(j, "doc_id", seeds="screened")
+    return out.withColumns({c: F.round(c, 6) for c in ("wss", "recall_at_10")})
+
+
 @query("stopping_rule", "SELECT user_id, event_id, count(*) OVER w AS reviewed, round((sum((event_id % 5 = 0)::INT) OVER w + 1.0) / (count(*) OVER w + 2), 6) AS posterior FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def stopping_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 5 == 0, "include").otherwise("exclude").alias("label"))
