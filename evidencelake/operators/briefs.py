@@ -160,7 +160,7 @@ def sections(query: str, n_measurements: int, n_themes: int, mentions: dict[str,
 
 def related_values(values: DataFrame, tags: DataFrame, likeness: str = "likeness", least: float = 0.25) -> DataFrame:
     """Values without a tag, and those whose tag is like enough to the question (tag, likeness)."""
-    out = values.join(F.broadcast(tags), "tag", "left")
+    out = values.join(tags, "tag", "left")
     return out.where((X.text_or_empty(F.col("tag")) == "") | (F.coalesce(likeness, F.lit(0.0)) >= least)).drop(likeness)
 
 
@@ -183,13 +183,13 @@ def boosted(papers: DataFrame, templates: DataFrame, text: Column) -> DataFrame:
 
 def expand_tokens(tokens: DataFrame, dictionary: DataFrame, token: str = "token") -> DataFrame:
     """Tokens with ``fixed``: the dictionary's word (known misspellings, abbreviations) or the token itself."""
-    d = F.broadcast(dictionary.select(F.lower("from").alias("__from"), F.col("to").alias("__to")))
+    d = dictionary.select(F.lower("from").alias("__from"), F.col("to").alias("__to"))
     return tokens.join(d, F.lower(token) == F.col("__from"), "left").withColumn("fixed", F.coalesce("__to", token)).drop("__from", "__to")
 
 
 def ambiguous(tokens: DataFrame, senses: DataFrame, token: str = "token") -> DataFrame:
     """(token, senses) of the tokens with several."""
-    return tokens.select(F.lower(token).alias("token")).distinct().join(F.broadcast(senses.groupBy(F.lower("term").alias("token")).agg(F.array_sort(F.collect_set("sense")).alias("senses"))), "token").where(F.size("senses") > 1)
+    return tokens.select(F.lower(token).alias("token")).distinct().join(senses.groupBy(F.lower("term").alias("token")).agg(F.array_sort(F.collect_set("sense")).alias("senses")), "token").where(F.size("senses") > 1)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import shared_folder
+from ..sources.layout import exists
 
 Stage = tuple[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]]
 LEDGER = "position int, stage string, state string, n_rows long, seconds double, path string"
@@ -64,12 +65,6 @@ def deadline(spark: SparkSession, at: float | None):
         spark.sparkContext.removeJobTag(tag)
 
 
-def finished(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written to its end."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def run(spark: SparkSession, stages: list[Stage], budget_s: float | None = None, folder: str | None = None) -> Run:
     """Run stages in turn; each gets the outputs of those before it by name, and its frame is written as Parquet below ``folder``.
 
@@ -89,7 +84,7 @@ def run(spark: SparkSession, stages: list[Stage], budget_s: float | None = None,
     timed_out = False
     for position, (name, stage) in enumerate(stages):
         path, begun = f"{folder}/{name}", time.monotonic()
-        if not timed_out and finished(spark, path):
+        if not timed_out and exists(spark, f"{path}/_SUCCESS"):  # written to its end
             state = "reused"
         elif timed_out or (at is not None and begun >= at):
             timed_out, state = True, "left"

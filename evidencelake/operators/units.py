@@ -53,4 +53,4 @@ def in_band(values: DataFrame, bands: DataFrame, value: str, band: str = "band")
 
 def plausible(measurements: DataFrame, ranges: DataFrame) -> DataFrame:
     """Measurements within the range of their label; labels without a range stay."""
-    return measurements.join(F.broadcast(ranges), "measurement", "left").where("low IS NULL OR value BETWEEN low AND high").drop("low", "high")
+    return measurements.join(ranges, "measurement", "left").where("low IS NULL OR value BETWEEN low AND high").drop("low", "high")

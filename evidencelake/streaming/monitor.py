@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.layout import exists
+
 
 def new_records(stream: DataFrame, baseline: DataFrame, key: str = "paper_id", time: str = "seen_at", late: str = "1 day") -> DataFrame:
     """Records of a stream that the baseline lacks, each key once within ``late`` of event time."""
@@ -54,16 +56,13 @@ def first_seen(stream: DataFrame, key: str, time: str, idle: str = "1 day") -> D
 
 
 def merge_batch(path: str, key: str = "paper_id"):
-    """A foreachBatch sink that appends to a Parquet baseline what it lacks: safe to replay."""
+    """A foreachBatch sink that appends to a Parquet baseline what it lacks: safe to replay. A null key is one of its own."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path).select(key).distinct()
-            batch = batch.join(known, key, "left_anti")
-        except Exception as e:  # the first batch finds no baseline
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if exists(spark, path):  # the first batch finds no baseline; one that was broken off left a folder without rows
+            known = spark.read.schema(batch.select(key).schema).parquet(path).select(F.col(key).alias("__known")).distinct()
+            batch = batch.join(known, F.col(key).eqNullSafe(F.col("__known")), "left_anti")
         batch.dropDuplicates([key]).write.mode("append").parquet(path)
 
     return write

@@ -18,6 +18,11 @@ def test_replayed_batches_add_nothing(spark, tmp_path):
         q.awaitTermination()
     assert {r.paper_id for r in spark.read.parquet(f"{tmp_path}/base").collect()} == {"a", "b"}
     assert spark.read.parquet(f"{tmp_path}/base").count() == 2
+    broken = monitor.merge_batch(f"{tmp_path}/broken")
+    (tmp_path / "broken" / "_temporary").mkdir(parents=True)  # what a first batch leaves that was broken off
+    for k in range(2):
+        broken(rows.unionAll(spark.createDataFrame([(None, 4), (None, 5)], rows.schema)), k)
+    assert sorted(str(r.paper_id) for r in spark.read.parquet(f"{tmp_path}/broken").collect()) == ["None", "a", "b"]
 
 
 def test_new_records(spark, tmp_path):
