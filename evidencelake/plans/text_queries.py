@@ -129,9 +129,10 @@ _NOTES = ("event_id", "CAST(event_id % 12 AS INT) AS kind", _A, _B, "concat(CAST
 
 @query("effect_readings", f"WITH notes AS (SELECT {', '.join(_NOTES)} FROM events) " + " UNION ALL ".join(f"SELECT event_id, CAST({'concat($0.7$, a)'.replace('$', chr(39)) if v == '0.7a' else v} AS DOUBLE) AS value, '{u}' AS unit, '{m}' AS measurement FROM notes WHERE kind = {k}" for k, (_, found) in enumerate(SENTENCES) for v, u, m in found))
 def effect_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a note states: 298 K is a setting like any other here."""
     notes = table(spark, sf_dir, "events").selectExpr(*_NOTES)
     note = F.expr("CASE kind " + " ".join(f"WHEN {k} THEN {_sentence(t)}" for k, (t, _) in enumerate(SENTENCES)) + " END")
-    return notes.select("event_id", F.explode(readings.single_measurements(note)).alias("m")).select("event_id", "m.value", "m.unit", "m.measurement")
+    return notes.select("event_id", F.explode(readings.stated_measurements(note)).alias("m")).select("event_id", "m.value", "m.unit", "m.measurement")
 
 
 _CUES = ("vs", "versus", "compared to", "relative to", "in contrast to", "in the control group", "after placebo", "in the treatment group", "at baseline")
