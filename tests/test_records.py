@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,24 @@ def test_quotes(spark):
     assert got == {1: (2, 4, 7, "found"), 2: (None, None, None, "ambiguous"), 3: (1, 4, 7, "found"), 4: (None, None, None, "not found"), 5: (None, None, None, "ambiguous")}
 
 
+def test_quotes_in_long_texts_take_linear_time(spark):
+    long = "ab" * 100_000
+    pages = spark.createDataFrame([("s", 1, long + "é"), ("t", 1, ""), ("u", 1, "x"), ("v", 1, None)], "source_id string, page_number int, text string")
+    quotes = spark.createDataFrame([(1, "s", "abé"), (2, "s", "abab"), (3, "t", ""), (4, "u", ""), (5, "v", "a"), (6, "u", None)], "quote_id int, source_id string, quote string").withColumn("page_number", F.lit(None).cast("int"))
+    start = time.perf_counter()
+    got = {r.quote_id: (r.start, r.status) for r in integrity.locate(pages, quotes).collect()}
+    assert time.perf_counter() - start < 20
+    assert got == {1: (199_998, "found"), 2: (None, "ambiguous"), 3: (0, "found"), 4: (None, "ambiguous"), 5: (None, "not found"), 6: (None, "not found")}
+
+
+def test_islands_of_many_numbers_take_linear_time(spark):
+    frame = spark.createDataFrame([(1, [3, 1, None, 2, 2, 7, 9, 8, 20, 30, 31]), (2, []), (3, None), (4, list(range(0, 60_000, 2)))], "k int, x array<bigint>")
+    start = time.perf_counter()
+    got = {r.k: r.t for r in frame.select("k", X.island_ranges(F.col("x")).alias("t")).collect()}
+    assert time.perf_counter() - start < 20
+    assert got == {1: "1–3, 7–9, 20, 30, 31", 2: "", 3: None, 4: ", ".join(map(str, range(0, 60_000, 2)))}
+
+
 def test_retractions_and_labels(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Title,OriginalPaperDOI,RetractionDOI\nx,https://doi.org/10.1/A,10.1/b\ny,,\n")
     assert {r.doi for r in stores.read_retractions(spark, str(tmp_path / "r.csv")).collect()} == {"10.1/a", "10.1/b"}
