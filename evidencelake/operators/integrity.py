@@ -170,8 +170,9 @@ def locate(pages: DataFrame, quotes: DataFrame) -> DataFrame:
     places count. ``pages``: source_id, page_number, text; ``quotes``: quote_id, source_id, quote, page_number or null."""
     q = quotes.select("quote_id", F.col("source_id").alias("__s"), "quote", F.col("page_number").alias("__p"))
     joined = q.join(pages, (F.col("__s") == pages["source_id"]) & (F.col("__p").isNull() | (F.col("__p") == pages["page_number"])), "left")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length("text") - F.length("quote"), F.lit(0))), lambda i: F.substr("text", i + 1, F.length("quote")) == F.col("quote"))
-    places = joined.select("quote_id", "quote", "page_number", F.coalesce(F.when(F.col("text").contains(F.col("quote")), starts), F.array().cast("array<int>")).alias("starts"))
-    found = places.groupBy("quote_id", "quote").agg(F.sum(F.size("starts")).alias("n"), F.max(F.when(F.size("starts") > 0, F.struct("page_number", F.col("starts")[0].alias("start")))).alias("at"))
+    first, empty = F.position(F.col("quote"), F.col("text")), F.col("quote") == ""
+    again = F.when(empty, F.length("text") > 0).otherwise(F.position(F.col("quote"), F.col("text"), F.col("first") + 1) > 0)
+    places = joined.select("quote_id", "quote", "page_number", "text", F.coalesce(first, F.lit(0)).alias("first")).select("quote_id", "quote", "page_number", "first", F.when(F.col("first") == 0, 0).when(again, 2).otherwise(1).alias("n"))  # 2 for more
+    found = places.groupBy("quote_id", "quote").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.struct("page_number", (F.col("first") - 1).alias("start")))).alias("at"))
     once = F.col("n") == 1
     return found.select("quote_id", F.when(once, F.col("at.page_number")).alias("page_number"), F.when(once, F.col("at.start")).alias("start"), F.when(once, F.col("at.start") + F.length("quote")).alias("end"), F.when(once, "found").when(F.col("n") == 0, "not found").otherwise("ambiguous").alias("status"))
