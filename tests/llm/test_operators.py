@@ -294,6 +294,21 @@ def test_trigram_model_against_brute_force(spark, bound):
     assert got[150].log_perplexity is None and not got[150].kept
 
 
+def test_quality_is_the_same_whether_tasks_hold_the_model_or_not(spark):
+    import random
+
+    r = random.Random(10)
+    words = ["w%d" % min(k, int(r.expovariate(0.05))) for k in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 200))) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame([(k, t, "en" if k % 3 else None, k) for k, t in enumerate(texts * 2)], "doc_id long, text string, lang string, score int").repartition(3)
+    held, joined = ({x.id: (x.log_perplexity, x.base_failed, x.low, x.high, x.kept) for x in quality.judge(spark, docs, bound=b).collect()} for b in (quality.BOUND, 0))
+    assert held == joined and any(x[4] for x in held.values())
+    for b in (quality.BOUND, 0):
+        kept = quality.keep_good(spark, docs, bound=b)
+        assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(k for k, x in held.items() if x[4])
+        assert b == 0 or "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()  # texts stay where they lie
+
+
 def test_bands_reject_menus_and_scrambled_words_but_not_copies(spark):
     """Over-predictable boilerplate lies below the band, noise above it; copies, near copies and clean texts stay."""
     import random
