@@ -34,8 +34,8 @@ def provenance_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("finding_gate")
 def finding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = papers(spark, sf_dir).select("paper_id", "title", F.explode(X.sentences(F.col("abstract"))).alias("finding"))
-    return told.groupBy("paper_id", briefs.good_title(F.col("title")).alias("good_title")).agg(F.count("*").alias("n"), F.count_if(briefs.good_finding(F.col("finding"))).alias("n_good"))
+    told = papers(spark, sf_dir).select("paper_id", briefs.good_title(F.col("title")).alias("good_title"), F.explode(X.sentences(F.col("abstract"))).alias("finding"))
+    return told.groupBy("paper_id", "good_title").agg(F.count("*").alias("n"), F.count_if(briefs.good_finding(F.col("finding"))).alias("n_good"))
 
 
 @query("limitations", "SELECT event_id AS id, 'The estimate may not hold for ' || event_type AS limitation FROM events WHERE event_id % 2 = 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,19 @@ def test_titles_and_findings(spark):
     findings = {plain: True, plain + " <b>": False, "Keywords: " + plain: False, plain + " write to me@host.org": False, plain + " at 12 , 13 (2001) of": False, "short": False, plain + " corresponding author: x": False, plain + " in figure a.": False, None: False}
     got = spark.createDataFrame([(t,) for t in findings], "t string").select("t", briefs.good_finding(F.col("t")).alias("g")).collect()
     assert {r.t: r.g for r in got} == findings
+
+
+def test_long_findings_and_their_marks(spark):
+    """A long line is searched once for each mark, and one that could hold no mark is not searched."""
+    plain = "The samples show a strong rise of pressure with depth in all wells"
+    marks = ["\u212aey word\u017f", "kEYWORD: ", "a@bc.org", "] , which features", "],which show", "]   which shows", "12 , 3 (4)", "12Ma)", "3 Ma)", "ed\u0130tor's kind attention", "ed\u0131tor's kind attention", "editor's kind attention", "Contact: x", "ontact x", "self-gravitating", "Chapter also outlines key"]
+    whole = ["]", "which features", "12 , (4)", "Ma)", "a@b", "editor", "chapter", "] x , which shows", "12 , 3 ()"]
+    rows = [(k, f"{plain} {m}", F_) for k, (m, F_) in enumerate([(m, False) for m in marks] + [(m, True) for m in whole])]
+    old = "(?iU)" + "|".join({"@\\w+\\.\\w{2,3}": ".*@\\w+\\.\\w{2,3}", "\\]\\s*(?:,\\s*)?which\\s+(?:features|show)": ".*\\]\\s*,?\\s*which\\s+(?:features|show)", "\\d\\s*Ma\\)": "\\d+\\s*Ma\\)", "\\d\\s*,\\s*\\d+\\s*\\(\\d+\\)": "\\d+\\s*,\\s*\\d+\\s*\\(\\d+\\)"}.get(p, p) for p in briefs.GARBLED)
+    t = spark.createDataFrame(rows, "k int, t string, want boolean")
+    assert t.where(briefs.is_garbled(F.col("t")) != F.col("t").rlike(old)).collect() == []
+    got = {r.t: r.g for r in t.select("t", briefs.is_garbled(F.col("t")).alias("g")).collect()}
+    assert [got[f"{plain} {m}"] for m in whole] == [False] * len(whole) and all(got[f"{plain} {m}"] for m in marks if m != "ontact x" and m.isascii())
+    start = time.perf_counter()
+    row = one(spark, g=briefs.good_finding(F.concat(F.repeat(F.lit("word ( ] "), 60_000), F.lit("end"))))
+    assert row.g and time.perf_counter() - start < 20
