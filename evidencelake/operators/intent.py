@@ -19,6 +19,9 @@ GOALS = (
 #: Names that a question is widened by, at most, for each slot. Fixed value.
 SYNONYMS = 10
 
+#: Names up to which a vocabulary is sent to all tasks; a larger one meets the questions by a sorted join.
+NAMES = 100_000
+
 
 def tokens(text: Column) -> Column:
     """Runs of letters, digits, plus and dash in lower case."""
@@ -33,9 +36,8 @@ def slots(queries: DataFrame, vocabulary: DataFrame, id_col: str = "query_id", t
     token, fill nothing. Questions that repeat an id are one.
     """
     names = vocabulary.select("slot", "canonical", "position", "name", tokens(F.col("name")).alias("t")).where(F.size("t") > 0).withColumns({"n": F.size("t"), "phrase": F.array_join("t", " ")}).drop("t")
-    lengths = [r.n for r in names.select("n").distinct().orderBy("n").collect()]  # as many as names differ in length
-    if not lengths:
-        lengths = [1]
+    counts = {r.n: r.k for r in names.groupBy("n").agg(F.count("*").alias("k")).collect()}  # as many as names differ in length
+    lengths = sorted(counts) or [1]
     asked = queries.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
 
     def runs(n: int) -> Column:
@@ -43,7 +45,8 @@ def slots(queries: DataFrame, vocabulary: DataFrame, id_col: str = "query_id", t
         return F.when(F.size("t") >= n, every)
 
     spots = asked.select("id", F.explode(F.flatten(F.filter(F.array(*map(runs, lengths)), lambda r: r.isNotNull()))).alias("s")).select("id", "s.*")
-    hits = spots.join(names, "phrase")
+    # an estimate does not see how many runs a question has, so which side may be sent whole is said here
+    hits = spots.join(F.broadcast(names), "phrase") if sum(counts.values()) <= NAMES else spots.hint("merge").join(names, "phrase")
     rank = F.struct((-F.col("n")).alias("n"), (-F.length("phrase")).alias("chars"), "at", "position", "canonical", "name")
     return hits.groupBy("id", "slot").agg(F.min(rank).alias("b")).select("id", "slot", "b.canonical", "b.name", "b.at")
 

@@ -49,3 +49,17 @@ def test_goal_and_expansion(spark):
     got = {r.id: r.expanded for r in intent.expanded(q, v).collect()}
     assert got == {1: "Overview of Quartz dating quartz silica SiO2 dating", 2: "Detect it, for example", 3: "nothing", None: "quartz silica SiO2", 4: ""}
     assert {r.id: r.expanded for r in intent.expanded(q, v, most=1).collect()}[1] == "Overview of Quartz dating quartz dating"
+
+
+def test_questions_are_never_sent_whole(spark, monkeypatch):
+    """Runs of questions are many times what their table's size lets expect: only a small vocabulary goes to all tasks."""
+    q = spark.createDataFrame([(1, "fine garnet and zircon"), (2, None)], "query_id long, query string")
+    v = spark.createDataFrame([("material", f"name {k}", f"name {k}", k) for k in range(200)] + [("material", "zircon", "zircon", 1), ("material", "fine garnet", "garnet", 2)], "slot string, name string, canonical string, position int")
+    got = []
+    for most in (intent.NAMES, 0):
+        monkeypatch.setattr(intent, "NAMES", most)
+        found = intent.slots(q, v)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == (most > 0)
+        got.append([tuple(r) for r in found.collect()])
+    assert got == [[(1, "material", "garnet", "fine garnet", 0)]] * 2
