@@ -5,13 +5,16 @@ by gradient ascent on a small labelled table (below: sentences about invented pe
 and written otherwise, secrets such as access tokens, and look-alikes that are none). It reads a text as tokens (digit runs,
 letter runs, long runs of both, single other characters) whose features are their shapes and those of their neighbours, and
 decodes by Viterbi in numpy, many stretches at a time. A stretch is all words within REACH of one that has a digit, an at sign
-or ``at`` for a word: what the field marks has one of these, else ``plausible`` rejects it. A word of more than LONGEST
-characters holds no span of the field and parts stretches. All work is linear in the length of a text.
+or ``at`` for a word: what the field marks has one of these, else ``plausible`` rejects it. A dot that stands alone or is spelled
+carries a stretch on, so addresses may have any number of them. Words of any length are read. Equal
+surroundings are scored once; stretches over twice CHUNK tokens are decoded in parts side by side, each from WARM tokens before
+it, and as one where the parts do not meet in the same scores. All work is linear in the length of a text.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import random
 import re
 from dataclasses import dataclass
@@ -31,8 +34,9 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-REACH, LONGEST = 6, 512
+REACH, CHUNK, WARM = 6, 2048, 128
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in ("B", "I")))
+BEGINS, INSIDE = ([k for k, label in enumerate(LABELS) if label[0] == x] for x in "BI")
 #: Shapes that the look-alike check below accepts as the digits of a kind.
 DIGITS = {"card": (13, 19), "phone": (9, 15)}
 Span = tuple[str, int, int]
@@ -74,33 +78,62 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-TOKEN = re.compile(r"[A-Za-z0-9]{20,}|[0-9]+|[^\W\d_]+|[^\s]|\n", re.UNICODE)
+#: Tokens, and in the last place the blanks between them, so that nothing of a text is left out.
+TOKEN = re.compile(r"[A-Za-z0-9]{20,}|[0-9]+|[^\W\d_]+|[^\s]|\n|[^\S\n]+", re.UNICODE)
 #: Words that stand in addresses and before numbers; other words have only their shape.
 CUES = ("at", "dot", "com", "net", "org", "example", "mail", "phone", "tel", "call", "fax", "mobile", "card", "visa", "ip", "host", "version", "section", "page", "order", "token", "key", "secret", "password", "api")
 
 
-def token_features(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[list[str]]]:
-    """Bounds and features of the tokens in a stretch of text."""
-    bounds = [m.span() for m in TOKEN.finditer(text, lo, hi)]
-    shapes = []
-    for a, b in bounds:
-        t = text[a:b]
-        if t.isdigit():
-            shape = f"d{min(len(t), 6)}" + ("-byte" if len(t) <= 3 and t.isascii() and int(t) <= 255 else "") + ("-card" if 13 <= len(t) <= 19 and t.isascii() and luhn(t) else "")
-        elif len(t) >= 20 and t.isalnum() and not t.isalpha():
-            shape = "x" + ("-hex" if not set(t) - set("0123456789abcdefABCDEF") else "")
-        elif t.isalpha():
-            shape = "w:" + t.lower() if t.lower() in CUES else ("W" if t[0].isupper() else "w") + str(min(len(t), 4))
-        else:
-            shape = t if t.isascii() else "?"
-        shapes.append(shape)
-    glued = [k > 0 and bounds[k - 1][1] == bounds[k][0] for k in range(len(bounds))] + [False]
-    out = []
-    for k, s in enumerate(shapes):
-        near = [f"{d}{shapes[k + d] if 0 <= k + d < len(shapes) else '|'}" for d in (-3, -2, -1, 1, 2, 3)]
-        join = f"g{int(glued[k])}{int(glued[k + 1])}"
-        out.append([f"0{s}", f"0{s}{join}", join, *near, f"p{near[2]}{s}{int(glued[k])}", f"n{s}{near[3]}{int(glued[k + 1])}", f"c{near[2]}{s}{near[3]}"])
-    return bounds, out
+def token_shape(t: str) -> str:
+    if t.isdigit():
+        return f"d{min(len(t), 6)}" + ("-byte" if len(t) <= 3 and t.isascii() and int(t) <= 255 else "") + ("-card" if 13 <= len(t) <= 19 and t.isascii() and luhn(t) else "")
+    if len(t) >= 20 and t.isalnum() and not t.isalpha():
+        return "x" + ("-hex" if not set(t) - set("0123456789abcdefABCDEF") else "")
+    if t.isalpha():
+        return "w:" + t.lower() if t.lower() in CUES else ("W" if t[0].isupper() else "w") + str(min(len(t), 4))
+    return t if t.isascii() else "?"
+
+
+def surroundings(parts: list[tuple[str, int, int]]) -> tuple[list[np.ndarray], list[np.ndarray], list[list[str]]]:
+    """For parts (text, lo, hi) of texts: bounds of the tokens, numbers of their surroundings, and the features of each number.
+
+    Surroundings are the shapes of three tokens on either side and whether the token touches its neighbours. There are under 128
+    shapes, so that a number of 64 bits holds them.
+    """
+    number = {"|": 0}  # beyond the ends
+
+    class Numbers(dict):
+        def __missing__(self, t: str) -> int:
+            return self.setdefault(t, -1 if t != "\n" and t.isspace() else number.setdefault(token_shape(t), len(number)))
+
+    seen = Numbers()
+    none, gap = np.full((3, 2), (-1, -2)), np.zeros(3, dtype=np.int64)
+    edges, shape, sizes = [none], [gap], []
+    for text, lo, hi in parts:
+        found = TOKEN.findall(text, lo, hi)
+        kind = np.fromiter(map(seen.__getitem__, found), dtype=np.int64, count=len(found))
+        ends = lo + np.fromiter(map(len, found), dtype=np.int64, count=len(found)).cumsum()
+        token = kind >= 0
+        edges += [np.stack([np.append(lo, ends[:-1]), ends], axis=1)[token] if found else none[:0], none]
+        shape += [kind[token], gap]
+        sizes.append(int(token.sum()))
+    edges, shape = np.concatenate(edges), np.concatenate(shape)
+    real = edges[:, 0] >= 0
+    touch = np.zeros(len(shape) + 1, dtype=np.int64)
+    touch[1:-1] = (edges[:-1, 1] == edges[1:, 0]) & real[:-1] & real[1:]
+    at = np.flatnonzero(real)
+    code = touch[at] * 2 + touch[at + 1]
+    for d in range(-3, 4):
+        code = code * len(number) + shape[at + d]
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    names, features = list(number), []
+    for k in at[first].tolist():
+        a, b, c, s, d, e, f = (names[i] for i in shape[k - 3 : k + 4])
+        before, after = int(touch[k]), int(touch[k + 1])
+        join = f"g{before}{after}"
+        features.append([f"0{s}", f"0{s}{join}", join, f"-3{a}", f"-2{b}", f"-1{c}", f"1{d}", f"2{e}", f"3{f}", f"p-1{c}{s}{before}", f"n{s}1{d}{after}", f"c-1{c}{s}1{d}"])
+    cuts = np.cumsum(sizes)[:-1]
+    return np.split(edges[at], cuts), np.split(which, cuts), features
 
 
 @dataclass
@@ -119,28 +152,66 @@ class Field:
         return out
 
 
-def viterbi(field: Field, scores: list[np.ndarray]) -> list[np.ndarray]:
-    """Best labels of many stretches, one step of all that are long enough at a time."""
-    order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
-    length = np.array([len(scores[k]) for k in order])
-    best = np.stack([field.begin + scores[k][0] for k in order])
+def viterbi(field: Field, scores: list[np.ndarray], whole: bool = False) -> list[np.ndarray]:
+    """Best labels of many stretches, one step of all that are long enough at a time.
+
+    Long ones are decoded in parts, unless ``whole``: each part begins WARM tokens early from scores that say nothing; once all
+    paths into it are one, its scores are those of the part before but for a constant, which is checked. A stretch whose parts
+    differ there is decoded as one.
+    """
+    parts = []  # (stretch, first token read, first of its own, end)
+    for k, s in enumerate(scores):
+        step = len(s) if whole or len(s) <= 2 * CHUNK else CHUNK
+        parts += [(k, max(0, a - WARM), a, min(len(s), a + step)) for a in range(0, len(s), step)]
+    parts.sort(key=lambda p: p[1] - p[3])
+    length = np.array([end - lo for _, lo, _, end in parts])
+    offset = np.cumsum(length) - length
+    known: dict[tuple[bool, bytes], int] = {}  # equal parts share a row of the first pass
+    row = np.array([known.setdefault((a > 0, hashlib.blake2b(scores[k][lo:end].tobytes(), digest_size=16).digest()), len(known)) for k, lo, a, end in parts])
+    firsts = np.unique(row, return_index=True)[1]
+    span = length[firsts]
+    flat, begin = np.concatenate([scores[parts[i][0]][parts[i][1] : parts[i][3]] for i in firsts]), np.cumsum(span) - span
+    best = np.stack([np.zeros(len(LABELS)) if parts[i][2] else field.begin for i in firsts]) + flat[begin]
     back = [np.zeros((0, len(LABELS)), dtype=np.int8)]
-    final = np.zeros(len(order), dtype=np.int64)
-    for t in range(1, int(length[0]) + 1):
-        n = int(np.searchsorted(-length, -t, side="left"))  # those longer than t
-        final[n : len(best)] = best[n:].argmax(axis=1)
+    warm, final = np.zeros_like(best), np.zeros_like(best)
+    for t in range(1, int(span[0]) + 1):
+        if t == WARM:
+            warm[: len(best)] = best
+        n = int(np.searchsorted(-span, -t, side="left"))  # those longer than t
+        final[n : len(best)] = best[n:]
         best = best[:n]
         if not n:
             break
         through = best[:, :, None] + field.move[None]
-        back.append(through.argmax(axis=1).astype(np.int8))
-        best = through.max(axis=1) + np.stack([scores[k][t] for k in order[:n]])
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(scores)
-    for row, k in enumerate(order):
-        path = [int(final[row])]
-        for t in range(len(scores[k]) - 1, 0, -1):
-            path.append(int(back[t][row, path[-1]]))
-        out[k] = np.array(path[::-1])
+        origin = through.argmax(axis=1)
+        back.append(origin.astype(np.int8))
+        best = np.take_along_axis(through, origin[:, None, :], axis=1)[:, 0] + flat[begin[:n] + t]
+    labels, apart = final.argmax(axis=1)[row], set()
+    later = sorted((i for i in range(len(parts)) if parts[i][2]), key=lambda i: parts[i], reverse=True)
+    if later:
+        entry = np.tile(np.arange(len(LABELS)), (len(firsts), 1))  # label before a part's own tokens, by its last label
+        for t in range(len(back) - 1, WARM - 1, -1):
+            entry[: len(back[t])] = np.take_along_axis(back[t], entry[: len(back[t])], axis=1)
+        ending = {(k, end): i for i, (k, _, _, end) in enumerate(parts)}
+        level = lambda x: x - x.max()
+        for i in later:
+            k, _, a, _ = parts[i]
+            before = ending[k, a]
+            labels[before] = entry[row[i], labels[i]]
+            if not np.allclose(level(warm[row[i]]), level(final[row[before]]), rtol=0, atol=1e-7):
+                apart.add(k)
+    path = np.zeros(int(length.sum()), dtype=np.int64)
+    path[offset + length - 1] = labels
+    for t in range(len(back) - 1, 0, -1):
+        n = int(np.searchsorted(-length, -t, side="left"))
+        labels[:n] = back[t][row[:n], labels[:n]]
+        path[offset[:n] + t - 1] = labels[:n]
+    out = [np.zeros(len(s), dtype=np.int64) for s in scores]
+    for i, (k, lo, a, end) in enumerate(parts):
+        out[k][a:end] = path[offset[i] + a - lo : offset[i] + end - lo]
+    if apart:
+        for k, found in zip(sorted(apart), viterbi(field, [scores[k] for k in sorted(apart)], whole=True), strict=True):
+            out[k] = found
     return out
 
 
@@ -218,15 +289,15 @@ def train(table: list[tuple[str, list[Span]]], passes: int = 12, rate: float = 0
     """Stochastic gradient ascent on the log likelihood, over the given sentences and no others."""
     data, names = [], {}
     for text, spans in table:
-        bounds, features = token_features(text, 0, len(text))
-        if not bounds:
+        (bounds,), (which,), features = surroundings([(text, 0, len(text))])
+        if not len(bounds):
             continue
         gold = np.zeros(len(bounds), dtype=np.int64)
         for kind, a, b in spans:
             inside = [k for k, (x, y) in enumerate(bounds) if x >= a and y <= b]
             gold[inside] = LABELS.index(f"I-{kind}")
             gold[inside[:1]] = LABELS.index(f"B-{kind}")
-        data.append(([[names.setdefault(f, len(names)) for f in fs] for fs in features], gold))
+        data.append(([[names.setdefault(f, len(names)) for f in features[i]] for i in which], gold))
     n = len(LABELS)
     field = Field(names, np.zeros((len(names), n)), np.zeros((n, n)), np.zeros(n))
     for to, label in enumerate(LABELS):
@@ -263,28 +334,31 @@ MARK = re.compile(r"[0-9@]|(?<![^\W_])[Aa][Tt](?![^\W_])")
 WORD = re.compile(r"\S+")
 
 
+DOT = re.compile(r"(?i)[\[(]*(\.|dot)[\])]*")
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text that the field decodes: words within REACH of a marked one, parted by words over LONGEST."""
+    """Parts of a text that the field decodes: words within REACH of a marked one, or of a dot that goes on from it."""
     words = [m.span() for m in WORD.finditer(text)]
     out: list[tuple[int, int]] = []
-    begin = 0
-    for edge in [k for k, (a, b) in enumerate(words) if b - a > LONGEST] + [len(words)]:
-        lo = hi = -1
-        for k in range(begin, edge):
-            if MARK.search(text, *words[k]):
-                if lo >= 0 and k - REACH > hi + 1:
-                    out.append((words[lo][0], words[hi][1]))
-                    lo = -1
-                lo = max(begin, k - REACH) if lo < 0 else lo
-                hi = min(edge - 1, k + REACH)
-        if lo >= 0:
-            out.append((words[lo][0], words[hi][1]))
-        begin = edge + 1
+    lo = hi = -1
+    for k, (a, b) in enumerate(words):
+        if MARK.search(text, a, b):
+            if lo >= 0 and k - REACH > hi + 1:
+                out.append((words[lo][0], words[hi][1]))
+                lo = -1
+            lo = max(0, k - REACH) if lo < 0 else lo
+        elif lo < 0 or k > hi or not DOT.fullmatch(text, a, b):
+            continue
+        hi = min(len(words) - 1, k + REACH)
+    if lo >= 0:
+        out.append((words[lo][0], words[hi][1]))
     return out
 
 
 #: An address as it may be spelled: dots stand close or with a blank on either side, not as at the end of a sentence.
-SPELLED = re.compile(r"(?i)[\w.%+-]*\w\s?(@|[\[(]\s?at\s?[\])]|(?<=\s)at(?=\s))\s?[\w-]+((\.|\s\.\s|[\s\[(]+dot[\s\])]+)[\w-]+)+")
+#: A match from within a run of its letters is one from the run's start too, so only starts of runs are tried.
+SPELLED = re.compile(r"(?i)(?<![\w.%+-])[\w.%+-]*\w\s?(@|[\[(]\s?at\s?[\])]|(?<=\s)at(?=\s))\s?[\w-]+((\.|\s\.\s|[\s\[(]+dot[\s\])]+)[\w-]+)+")
 
 
 def trimmed(kind: str, found: str) -> tuple[int, int]:
@@ -298,7 +372,7 @@ def plausible(kind: str, found: str) -> bool:
     digits = re.sub("[^0-9]", "", found)
     if kind == "ip":
         parts = re.findall("[0-9]+", found)
-        return len(parts) == 4 and all(int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(map(_byte, parts))
     if kind == "email":
         return bool(SPELLED.fullmatch(found))
     if kind == "secret":
@@ -309,29 +383,23 @@ def plausible(kind: str, found: str) -> bool:
 
 def field_spans(field: Field, texts: list[str]) -> list[list[Span]]:
     """What the field marks in each text."""
-    where, scores = [], []
-    for k, text in enumerate(texts):
-        for lo, hi in stretches(text):
-            bounds, features = token_features(text, lo, hi)
-            if bounds:
-                where.append((k, bounds))
-                scores.append(field.scores(features))
+    places = [(k, lo, hi) for k, text in enumerate(texts) for lo, hi in stretches(text)]
+    bounds, which, features = surroundings([(texts[k], lo, hi) for k, lo, hi in places])
     out: list[list[Span]] = [[] for _ in texts]
-    if not scores:
+    if not features:
         return out
-    for (k, bounds), path in zip(where, viterbi(field, scores), strict=True):
-        at = 0
-        while at < len(path):
-            label = LABELS[path[at]]
-            end = at + 1
-            if label[0] == "B":
-                while end < len(path) and LABELS[path[end]] == f"I-{label[2:]}":
-                    end += 1
-                lo, hi = bounds[at][0], bounds[end - 1][1]
-                a, b = trimmed(label[2:], texts[k][lo:hi])
-                if plausible(label[2:], texts[k][lo + a : lo + b]):
-                    out[k].append((label[2:], lo + a, lo + b))
-            at = end
+    table = field.scores(features)
+    held = [i for i, x in enumerate(which) if len(x)]
+    for i, path in zip(held, viterbi(field, [table[which[i]] for i in held]), strict=True):
+        k, edges = places[i][0], bounds[i]
+        goes_on = np.append(np.isin(path[1:], INSIDE) & (path[1:] == np.where(np.isin(path[:-1], INSIDE), path[:-1], path[:-1] + 1)), False)
+        ends = np.flatnonzero(~goes_on)
+        for at in np.flatnonzero(np.isin(path, BEGINS)).tolist():
+            kind = LABELS[path[at]][2:]
+            lo, hi = int(edges[at, 0]), int(edges[ends[np.searchsorted(ends, at)], 1])
+            a, b = trimmed(kind, texts[k][lo:hi])
+            if plausible(kind, texts[k][lo + a : lo + b]):
+                out[k].append((kind, lo + a, lo + b))
     return out
 
 

@@ -584,3 +584,20 @@ def test_columns_of_any_name_stay(spark):
     assert {r.doc_id: r["__n_dropped"] for r in frames["lines"].collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
     assert {r["__verdict"] for r in frames["urls"].collect()} == {"block"}
     assert quality.judge(spark, docs).count() == 4 and quality.keep_good(spark, docs).columns == docs.columns
+
+
+def test_words_of_any_length_and_addresses_of_any_depth():
+    """Words over 512 characters and addresses of many spelled dots hold spans like any other; parts decode like one stretch."""
+    field = pii.default_field()
+    show = lambda t: [(k, t[a:b]) for k, a, b in pii.field_spans(field, [t])[0]]
+    token = "9fA3kQ7zLm2Xw8Rt5Vb1Nc6YdP0sHj4G"
+    assert show("a;" * 400 + f'token="{token}"' + ";b" * 300) == [("secret", token)]
+    assert show("mail joe.12 at mail dot cs dot uni dot north dot example dot com now") == [("email", "joe.12 at mail dot cs dot uni dot north dot example dot com")]
+    text = " ".join(("12", "at", "dot", "abc", "212-555-0173", "@", "4111 1111")[k * k % 11 % 7] for k in range(4000))
+    _, (which,), features = pii.surroundings([(text, 0, len(text))])
+    scores = field.scores(features)[which]
+    assert len(scores) > 2 * pii.CHUNK and np.array_equal(pii.viterbi(field, [scores])[0], pii.viterbi(field, [scores], whole=True)[0])
+    k, rng = len(pii.LABELS), np.random.default_rng(5)
+    apart = pii.Field({}, np.zeros((0, k)), np.eye(k) * 1e6, rng.normal(size=k))
+    scores = rng.normal(size=(3 * pii.CHUNK, k))
+    assert np.array_equal(pii.viterbi(apart, [scores])[0], pii.viterbi(apart, [scores], whole=True)[0])
