@@ -192,9 +192,12 @@ def harvested_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("inverted_abstracts", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS abstract FROM documents")
 def inverted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text to its index from word to places, and back; an index is made where its text lies."""
     words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
-    places = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("at", "word")).groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
-    index = places.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    placed = table(spark, sf_dir, "documents").select("doc_id", F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))).alias("s"))
+    rows = X.with_runs(placed, "s", "word")
+    places = F.transform("runs", lambda r: F.struct(F.get("s", r["at"])["word"], F.transform(F.slice("s", r["at"] + 1, r["size"]), lambda x: x["at"])))
+    index = rows.select("doc_id", F.when(F.col("s").isNotNull(), F.map_from_entries(places)).alias("index"))
     return index.select("doc_id", X.inverted_abstract(F.col("index")).alias("abstract"))
 
 
