@@ -123,8 +123,8 @@ def adjudications(t: DataFrame, made: DataFrame) -> DataFrame:
     d = made.select("decision_id", F.col("source_id").alias("ds"), F.col("stage").alias("dt"), F.col("origin").alias("do"), F.col("actor_id").alias("da"), F.col("decision").alias("dd"))
     joined = rows.join(d, "decision_id", "left")
     group = joined.groupBy("adjudication_id", "status", "final_decision", "adjudicator_id").agg(
-        F.count("*").alias("n"), F.count("ds").alias("known"), F.count_if((F.col("ds") == F.col("source_id")) & (F.col("dt") == F.col("stage"))).alias("own"), F.count_if(F.col("do") == "human").alias("human"), F.count_distinct("da").alias("people"), F.count_distinct("dd").alias("outcomes"), F.collect_set("dd").alias("said"), F.collect_set("da").alias("by")
-    )
+        F.count("*").alias("n"), F.count("ds").alias("known"), F.count_if((F.col("ds") == F.col("source_id")) & (F.col("dt") == F.col("stage"))).alias("own"), F.count_if(F.col("do") == "human").alias("human"), F.collect_set("dd").alias("said"), F.collect_set("da").alias("by")
+    ).withColumns({"people": F.size("by"), "outcomes": F.size("said")})
     decided, judge = ~blank(F.col("final_decision")), ~blank(F.col("adjudicator_id"))
     s = F.col("status")
     return together(
