@@ -87,9 +87,9 @@ def _scorer(held):
         lengths, found = [len(w) for w in words], automaton(words)
         for batch in batches:
             rows, labels, scores = [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
+            for k, t in enumerate(batch.column(1)):  # one text at a time leaves the batch
                 mine: dict[str, float] = defaultdict(float)
-                for term, n in term_counts(found, lengths, t or "").items():
+                for term, n in term_counts(found, lengths, t.as_py() or "").items():
                     for label, weight in uses[term]:
                         mine[label] += n * weight
                 rows += [k] * len(mine)
