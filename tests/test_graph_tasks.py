@@ -47,3 +47,18 @@ def test_cocitation_in_small_tasks(spark, small_tasks):
     out = graph.cocitation_scores(spark.createDataFrame(rows, "id int, refs array<int>"), "id", "refs")
     assert {r.id: round(r.cocitation, 9) for r in out.collect()} == {k: round(want[k] / top, 9) for k, _ in rows}
     assert len(set(map(int, re.findall(r"hashpartitioning\(by#\d+, (\d+)\)", plan(out)))) - {4}) == 1
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_components_move_each_edge_a_few_times(spark, monkeypatch, kind):
+    """A chain in order of its keys, a star around its greatest key, a ring, loops and nulls."""
+    n = 600
+    edges = [(k, k + 1) for k in range(n)] + [(9000, 1000 + k) for k in range(50)] + [(2000 + k, 2000 + (k + 1) % 7) for k in range(7)] + [(3000, 3000), (2000, None), (None, None)]
+    want = {k: 0 for k in range(n + 1)} | {k: 1000 for k in [9000, *range(1000, 1050)]} | {k: 2000 for k in range(2000, 2007)} | {3000: 3000}
+    name = (lambda k: k) if kind == "int" else (lambda k: k if k is None else f"{k:05d}")
+    kept, keep = [], graph.Scratch.keep
+    monkeypatch.setattr(graph.Scratch, "keep", lambda self, frame, label: (kept.append((label, out := keep(self, frame, label), out.count())), out)[1])
+    rows = graph.components(spark, spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"src {kind}, dst {kind}")).collect()
+    assert {r.node: r.component for r in rows} == {name(k): name(c) for k, c in want.items()} and len(rows) == len(want)
+    moved = [n for label, _, n in kept if label.startswith("edges")]
+    assert len(moved) > 1 and sum(moved) < 5 * len(edges) and len(moved) < 40
