@@ -33,14 +33,19 @@ def canonical(measurements: DataFrame) -> DataFrame:
     }).drop("base", "factor", "offset", "kind")
 
 
-def pools(measurements: DataFrame) -> DataFrame:
-    """Study rows (pool, paper_id, effect, variance): values of one label and base unit, two or more; the variance of a mean with
-    an error and a size, else 1. Rows without label and unit are left out."""
+def labelled(measurements: DataFrame) -> DataFrame:
+    """Study rows (pool, paper_id, effect, variance): values by label and base unit; the variance of a mean with an error and a
+    size, else 1. Rows without label and unit are left out."""
     c = canonical(measurements)
     label = F.lower(F.trim(F.coalesce("measurement", F.lit(""))))
     named = c.withColumn("pool", F.concat_ws(" ", F.when(label == "", F.lit("value")).otherwise(label), F.concat(F.lit("("), F.coalesce("unit", F.lit("")), F.lit(")")))).where((label != "") | (F.coalesce("unit", F.lit("")) != ""))
     variance = F.coalesce(F.try_divide(F.col("uncertainty") * F.col("uncertainty"), F.col("n").cast("double")), F.lit(1.0))
-    rows = named.select("pool", "paper_id", F.col("value").alias("effect"), F.when(variance > 0, variance).otherwise(1.0).alias("variance"))
+    return named.select("pool", "paper_id", F.col("value").alias("effect"), F.when(variance > 0, variance).otherwise(1.0).alias("variance"))
+
+
+def pools(measurements: DataFrame) -> DataFrame:
+    """The study rows of ``labelled`` of which a pool has two or more."""
+    rows = labelled(measurements)
     many = rows.groupBy("pool").agg(F.count("*").alias("k")).where("k >= 2").select("pool")
     return rows.join(many, "pool", "left_semi")
 
