@@ -62,3 +62,21 @@ def test_components_move_each_edge_a_few_times(spark, monkeypatch, kind):
     assert {r.node: r.component for r in rows} == {name(k): name(c) for k, c in want.items()} and len(rows) == len(want)
     moved = [n for label, _, n in kept if label.startswith("edges")]
     assert len(moved) > 1 and sum(moved) < 5 * len(edges) and len(moved) < 40
+
+
+def test_pagerank_sorts_nodes_and_not_edges(spark, small_tasks, monkeypatch):
+    """Edges are kept as short lists; ranks are those of the power method."""
+    rows = [(k, [j % 43 for j in (x or [])] + [7, 7]) for k, x in CITING]
+    ids = {k for k, _ in rows}
+    near = {k: {j for j in x if j != k and j in ids} for k, x in rows}
+    want = {k: 1 / len(ids) for k in ids}
+    for _ in range(200):
+        idle = sum(want[k] for k in ids if not near[k])
+        want = {k: 0.15 / len(ids) + 0.85 * (idle / len(ids) + sum(want[j] / len(near[j]) for j in ids if k in near[j])) for k in ids}
+    kept, keep = {}, graph.Scratch.keep
+    monkeypatch.setattr(graph.Scratch, "keep", lambda self, frame, label: kept.setdefault(label, keep(self, frame, label)))
+    papers = spark.createDataFrame(rows, "id int, refs array<int>")
+    got = graph.pagerank(spark, papers.select("id"), graph.corpus_edges(papers, "id", "refs"), tolerance=1e-12, chunk=3)
+    assert {r.id: r.rank for r in got.collect()} == pytest.approx(want, abs=1e-9)
+    lists = [r.dsts for r in kept["shares"].collect()]
+    assert sum(map(len, lists)) == sum(map(len, near.values())) and max(map(len, lists)) == 3
