@@ -98,8 +98,8 @@ def embedding_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("content_gate", f"""WITH {PAPERS_SQL}, x AS (SELECT paper_id, CASE WHEN paper_id % 9 = 0 THEN 'Front matter' WHEN paper_id % 9 = 1 THEN 'Review for ' || title WHEN paper_id % 9 = 2 THEN 'Basalt' ELSE title || ' and more words here' END AS title, CASE WHEN paper_id % 9 = 2 THEN '' ELSE abstract END AS abstract FROM papers)
 SELECT paper_id, CASE WHEN paper_id % 9 = 0 THEN 'title' WHEN paper_id % 9 = 1 THEN 'peer review' WHEN paper_id % 9 = 2 THEN 'bare title' END AS reason FROM x""")
 def content_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("paper_id") % 9
-    p = papers(spark, sf_dir).withColumns({"title": F.when(m == 0, "Front matter").when(m == 1, F.concat(F.lit("Review for "), "title")).when(m == 2, "Basalt").otherwise(F.concat("title", F.lit(" and more words here"))), "abstract": F.when(m == 2, "").otherwise(F.col("abstract"))})
+    m, title = F.col("paper_id") % 9, F.coalesce("title", F.lit(""))
+    p = papers(spark, sf_dir).withColumns({"title": F.when(m == 0, "Front matter").when(m == 1, F.concat(F.lit("Review for "), title)).when(m == 2, "Basalt").otherwise(F.concat(title, F.lit(" and more words here"))), "abstract": F.when(m == 2, "").otherwise(F.col("abstract"))})
     return p.select("paper_id", screening.content_gate().alias("reason"))
 
 
